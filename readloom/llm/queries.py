@@ -3,13 +3,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from readloom.llm import near
+from readloom.llm import near, suffix
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op8_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix.remove_repeats(table(spark, sf, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op9_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return near.near_duplicates(table(spark, sf, "documents"), near.NearParams(shingle=4))
 

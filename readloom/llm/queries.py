@@ -3,13 +3,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from readloom.llm import near, suffix
+from readloom.llm import base, chat, codes, near, suffix
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op3_codes(spark: SparkSession, sf: str) -> DataFrame:
+    path = base.shared_dir(spark)
+    codes.write_codes(table(spark, sf, "documents"), path)
+    return codes.read_codes(spark, path)
+
+
+def op4_chat(spark: SparkSession, sf: str) -> DataFrame:
+    probe = spark.createDataFrame([(-1, 0, "user", chat.PROBE), (-1, 1, "assistant", chat.PROBE)], "conv_id bigint, turn bigint, role string, text string")
+    turns = table(spark, sf, "conversations").select(*probe.columns).unionAll(probe)
+    return chat.digest(chat.read_back(chat.format_conversations(turns)))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return suffix.remove_repeats(table(spark, sf, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
@@ -19,4 +31,4 @@ def op9_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {n: f for n, f in list(globals().items()) if n.startswith("op")}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_chat": chat.ORACLE}

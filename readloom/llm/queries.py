@@ -3,13 +3,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from readloom.llm import base, chat, codes, near, suffix
+from readloom.llm import ann, base, chat, codes, language, near, suffix
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op2_language(spark: SparkSession, sf: str) -> DataFrame:
+    return language.identify(table(spark, sf, "documents"))
+
+
 def op3_codes(spark: SparkSession, sf: str) -> DataFrame:
     path = base.shared_dir(spark)
     codes.write_codes(table(spark, sf, "documents"), path)
@@ -22,6 +26,10 @@ def op4_chat(spark: SparkSession, sf: str) -> DataFrame:
     return chat.digest(chat.read_back(chat.format_conversations(turns)))
 
 
+def op5_ann(spark: SparkSession, sf: str) -> DataFrame:
+    return ann.search(table(spark, sf, "embeddings"))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return suffix.remove_repeats(table(spark, sf, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 

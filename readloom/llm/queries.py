@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from readloom.llm import ann, base, chat, codes, decontaminate, language, near, packing, suffix
+from readloom.llm import ann, base, chat, codes, decontaminate, language, near, ngram, packing, suffix
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -46,5 +46,9 @@ def op9_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return near.near_duplicates(table(spark, sf, "documents"), near.NearParams(shingle=4))
 
 
+def op10_lm_score(spark: SparkSession, sf: str) -> DataFrame:
+    return ngram.score_documents(table(spark, sf, "documents"))
+
+
 QUERIES = {n: f for n, f in list(globals().items()) if n.startswith("op")}
 ORACLES: dict[str, str] = {"op4_chat": chat.ORACLE}

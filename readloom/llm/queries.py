@@ -1,15 +1,21 @@
 """One query an operator, over its whole table with production parameters."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import corpus_pipeline
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from readloom.llm import ann, base, chat, codes, decontaminate, language, near, ngram, packing, suffix
+from readloom.llm import ann, base, chat, codes, decontaminate, language, lines, near, ngram, packing, suffix
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    out = lines.dedup_lines(table(spark, sf, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.length("text").cast("bigint").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op2_language(spark: SparkSession, sf: str) -> DataFrame:
     return language.identify(table(spark, sf, "documents"))
 
@@ -50,5 +56,5 @@ def op10_lm_score(spark: SparkSession, sf: str) -> DataFrame:
     return ngram.score_documents(table(spark, sf, "documents"))
 
 
-QUERIES = {n: f for n, f in list(globals().items()) if n.startswith("op")}
+QUERIES = {n: f for n, f in list(globals().items()) if n.startswith("op")} | {"pipeline": corpus_pipeline.run}
 ORACLES: dict[str, str] = {"op4_chat": chat.ORACLE}

@@ -7,8 +7,9 @@ Small nodes are compared exhaustively on minwise signatures, large ones are bran
 enough is confirmed on the full sets, and confirmed links make connected components.
 
 Equal sets are one class from the start, so groups of exact copies cost nothing. Dense groups of near copies are joined
-in two rounds: first one link for each member, confirmed; then only pairs that the first round left in different
-components, all of them. No pair that could join two components is skipped, and no group is expanded into all pairs.
+in two rounds: first one link for each member, confirmed; then those members that look close to a document of another
+component meet in their nodes with their full sets, where an inverted index compares them with all others. No pair
+that could join two components is skipped, and no pair but a confirmed link leaves a node.
 
 Rows without doc_id are left out; null, empty and blank texts link with nothing. A doc_id that repeats counts as one
 document (of its smallest text) and returns a row for each of its rows.
@@ -123,47 +124,103 @@ def first_links(ids: np.ndarray, sig: np.ndarray, p: NearParams) -> list[np.ndar
     return out
 
 
-def cross_links(ids: np.ndarray, sig: np.ndarray, comp: np.ndarray, p: NearParams, depth: int = 0) -> list[np.ndarray]:
-    """All pairs that look close and lie in different components. Members of the largest component are not compared with each other."""
+def cross_nodes(node: np.uint64, ids: np.ndarray, sig: np.ndarray, comp: np.ndarray, p: NearParams, depth: int = 0) -> list[tuple[np.uint64, np.ndarray]]:
+    """Nodes and those members that look close to one of another component. Members of the largest component are not compared with each other."""
     value, inverse, count = np.unique(comp, return_inverse=True, return_counts=True)
     if len(value) < 2:
         return []
     rest = np.flatnonzero(inverse != count.argmax())
     if len(ids) > p.branch and depth < 6 and len(rest) > p.small:
         out = []
-        for c in (np.arange(4) * 31 + depth * 7) % p.signature:  # the node branches on: each member chooses the child of its token
+        for c in (np.arange(4) * 31 + depth * 7) % p.signature:  # the node branches on: each member goes to the child of its token
             order = np.argsort(sig[:, c], kind="stable")
             for a, b in zip((s := B.starts_of(sig[order, c]))[:-1], s[1:]):
                 if b - a > 1:
                     g = order[a:b]
-                    out += cross_links(ids[g], sig[g], comp[g], p, depth + 1)
+                    child = B.mix(np.array([node ^ _SEEDS[3000 + c]]) + sig[g[:1], c])[0]
+                    out += cross_nodes(child, ids[g], sig[g], comp[g], p, depth + 1)
         return out
-    out = []
+    close = np.zeros(len(ids), bool)
     for i in range(0, len(rest), p.small):
         r = rest[i:i + p.small]
         x, y = np.nonzero((agreement(sig[r], sig) >= p.look) & (inverse[r][:, None] != inverse[None, :]))
-        out.append(np.stack([ids[r[x]], ids[y]], 1))
-    return out
+        close[r[x]] = close[y] = True
+    return [(node, ids[close])] if close.any() else []
 
 
-def pairs_in_nodes(p: NearParams, second: bool):
+def links_in_nodes(p: NearParams):
+    """(node, cid, sig) -> links to confirm, one for each member."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in B.runs(batches, "node"):
             node, ids = B.long_array(table["node"]), B.long_array(table["cid"])
-            comp = B.long_array(table["comp"]) if second else None
-            raw, _ = B.text_bytes(table["sig"])
-            sig = raw.reshape(len(ids), -1)
+            sig = B.text_bytes(table["sig"])[0].reshape(len(ids), -1)
             at, out = B.starts_of(node), []
             for a, b in zip(at[:-1], at[1:]):
-                if b - a > 1:
-                    order = np.argsort(ids[a:b]) + a
-                    out += cross_links(ids[order], sig[order], comp[order], p) if second else first_links(ids[order], sig[order], p)
+                order = np.argsort(ids[a:b]) + a
+                out += first_links(ids[order], sig[order], p)
             if out and len(both := np.concatenate(out)):
                 both = np.unique(np.sort(both, 1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
     return run
 
 
+def rest_in_nodes(p: NearParams):
+    """(node, cid, sig, comp) -> (node, cid, comp) of the members that must be compared on full sets."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in B.runs(batches, "node"):
+            node, ids, comp = (B.long_array(table[c]) for c in ("node", "cid", "comp"))
+            sig = B.text_bytes(table["sig"])[0].reshape(len(ids), -1)
+            at = B.starts_of(node)
+            for a, b in zip(at[:-1], at[1:]):
+                order = np.argsort(ids[a:b]) + a
+                own = dict(zip(ids[order].tolist(), comp[order].tolist()))
+                for key, some in cross_nodes(node[a:a + 1].view(np.uint64)[0], ids[order], sig[order], comp[order], p):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), key, np.uint64).view(np.int64)), pa.array(some), pa.array([own[x] for x in some.tolist()], pa.int64())], names=["node", "cid", "comp"])
+    return run
+
+
+def compare_nodes(p: NearParams):
+    """(node, cid, comp, text) -> confirmed links (a, b) that connect the components of a node; no pair leaves a node unless it is a link."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in B.runs(batches, "node"):
+            node, ids, comp = (B.long_array(table[c]) for c in ("node", "cid", "comp"))
+            raw, off = B.text_bytes(table["text"])
+            at, out = B.starts_of(node), []
+            for a, b in zip(at[:-1], at[1:]):
+                out += exact_links(ids[a:b], comp[a:b], raw[off[a]:off[b]], off[a:b + 1] - off[a], p)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([min(x) for x in out], pa.int64()), pa.array([max(x) for x in out], pa.int64())], names=["a", "b"])
+    return run
+
+
+def exact_links(ids: np.ndarray, comp: np.ndarray, raw: np.ndarray, off: np.ndarray, p: NearParams) -> list[tuple[int, int]]:
+    """Links of the members of one node between different components, by an inverted index of their full sets."""
+    sets, size = [], []
+    for i, j in B.slices(off):
+        h, _, _, w = B.words(raw[off[i]:off[j]], off[i:j + 1] - off[i])
+        s, to = B.shingle_sets(h, w, p.shingle)
+        sets.append(s)
+        size.append(np.diff(to))
+    sets, size = np.concatenate(sets), np.concatenate(size)
+    to = np.concatenate([[0], np.cumsum(size)])
+    order = np.argsort(sets, kind="stable")
+    member = np.repeat(np.arange(len(ids)), size)[order]
+    starts = B.starts_of(sets[order])
+    rank = np.empty(len(sets), np.int64)
+    rank[order] = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    value, own, count = np.unique(comp, return_inverse=True, return_counts=True)
+    trees, out = B.Forest(len(value)), []
+    for x in np.flatnonzero(own != count.argmax()).tolist():
+        r = rank[to[x]:to[x + 1]]
+        n = starts[r + 1] - starts[r]
+        place = np.repeat(starts[r] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        shared = np.bincount(member[place], minlength=len(ids))
+        for y in np.flatnonzero((100 * shared >= p.percent * (size[x] + size - shared)) & (shared > 0)).tolist():
+            if trees.join(int(own[x]), int(own[y])):
+                out.append((int(ids[x]), int(ids[y])))
+    return out
+
+
 def confirm_pairs(p: NearParams):
     """Pairs with both texts -> those whose full sets are similar enough."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,10 +263,12 @@ def near_duplicates(docs: DataFrame, p: NearParams = NearParams()) -> DataFrame:
         return B.cut(B.map_batches(whole, confirm_pairs(p), "a bigint, b bigint"))
 
     grouped = lambda df: df.repartition(n, "node").sortWithinPartitions("node")
-    one = confirmed(B.map_batches(grouped(members), pairs_in_nodes(p, False), "a bigint, b bigint").distinct())
+    one = confirmed(B.map_batches(grouped(members), links_in_nodes(p), "a bigint, b bigint").distinct())
     comp = B.components(one)
     labelled = members.join(comp.select(F.col("v").alias("cid"), "component"), "cid", "left").select("node", "cid", "sig", F.coalesce("component", "cid").alias("comp"))
-    two = confirmed(B.map_batches(grouped(labelled), pairs_in_nodes(p, True), "a bigint, b bigint").distinct())
+    rest = B.map_batches(grouped(labelled), rest_in_nodes(p), "node bigint, cid bigint, comp bigint").distinct()
+    whole = rest.join(texts.select(F.col("doc_id").alias("cid"), "text"), "cid")
+    two = B.cut(B.map_batches(grouped(whole), compare_nodes(p), "a bigint, b bigint"))
     comp = B.components(one.unionAll(two)).select(F.col("v").alias("cid"), "component")
     named = classes.join(comp, "cid", "left").select("f1", "f2", "n_shingles", F.coalesce("component", "cid").alias("class_id"))
     found = facts.select("doc_id", "n_shingles", "f1", "f2").join(named, ["f1", "f2", "n_shingles"], "left")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Bytes of text that one vectorised step takes at once; arrays of eight bytes a character stay small next to an executor.
-SLICE = 1 << 21
+SLICE = 1 << 20
 
 
 # --- Spark -----------------------------------------------------------------------------------------------------------

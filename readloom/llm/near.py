@@ -212,9 +212,12 @@ def exact_links(ids: np.ndarray, comp: np.ndarray, raw: np.ndarray, off: np.ndar
     trees, out = B.Forest(len(value)), []
     for x in np.flatnonzero(own != count.argmax()).tolist():
         r = rank[to[x]:to[x + 1]]
-        n = starts[r + 1] - starts[r]
-        place = np.repeat(starts[r] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        shared = np.bincount(member[place], minlength=len(ids))
+        shared = np.zeros(len(ids), np.int64)
+        for k, m in B.slices(np.concatenate([[0], np.cumsum(starts[r + 1] - starts[r])]), 1 << 18):  # long texts have very many postings
+            s = starts[r[k:m]]
+            n = starts[r[k:m] + 1] - s
+            place = np.repeat(s - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            shared += np.bincount(member[place], minlength=len(ids))
         for y in np.flatnonzero((100 * shared >= p.percent * (size[x] + size - shared)) & (shared > 0)).tolist():
             if trees.join(int(own[x]), int(own[y])):
                 out.append((int(ids[x]), int(ids[y])))

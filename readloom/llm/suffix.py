@@ -206,7 +206,7 @@ def send_contexts(length: int, buckets: int):
             i = kept[some]
             n = size[i]
             text = np.frombuffer(b"".join(flat[x:x + m] for x, m in zip(base[i].tolist(), n.tolist())), np.uint8)
-            rows.append((k, block, b"\x00" + pack(doc[i], start[i], lo[i].astype(np.uint8), (n - length + 1).astype(np.uint8), text)))
+            rows.append((k, block, b"\x00" + pack(doc[i], start[i], lo[i].astype(np.uint8), (n - length + 1).astype(np.uint8), (B.mix(h[i]) >> np.uint64(48)).astype(np.uint16), text)))
         return pa.Table.from_batches([message(rows)])
     return run
 
@@ -278,22 +278,36 @@ def sort_buckets(length: int):
                         parts.append(unpack(blob[1:]))
                         origin.append(np.full(len(parts[-1][0]), to))
                 if parts:
-                    rows += mark(parts, np.concatenate(origin), length)
+                    rows += mark_all(parts, np.concatenate(origin), length)
             if rows:
                 yield message(rows)
     return run
 
 
-def mark(parts: list[list[np.ndarray]], origin: np.ndarray, length: int) -> list[tuple[int, int, bytes]]:
-    doc, start, lo, windows, text = (np.concatenate(x) for x in zip(*parts))
-    order = np.lexsort((start, doc))
+#: Text bytes of a suffix bucket; what a partition received is sorted in buckets of about this size, by anchor.
+BUCKET = 1 << 20
+
+
+def mark_all(parts: list[list[np.ndarray]], origin: np.ndarray, length: int) -> list[tuple[int, int, bytes]]:
+    doc, start, lo, windows, h, text = (np.concatenate(x) for x in zip(*parts))
+    parts.clear()
     windows = windows.astype(np.int64)
     size = windows + length - 1
     begin = np.concatenate([[0], np.cumsum(size)[:-1]])
-    size, begin, windows = size[order], begin[order], windows[order]
+    n = max(1, len(text) // BUCKET)
+    rows = []  # h is mixed once more: anchors are smallest hashes, so their own high bits are all small
+    for _, r in _by_bucket(h.astype(np.int64) * n >> 16, n):
+        rows += mark(doc[r], start[r], lo[r], windows[r], begin[r], text, origin[r], length)
+    return rows
+
+
+def mark(doc, start, lo, windows, begin, text, origin, length: int) -> list[tuple[int, int, bytes]]:
+    """Ranges of one suffix bucket's records that are to go, for each block."""
+    order = np.lexsort((start, doc))
+    size = windows[order] + length - 1
     at = np.concatenate([[0], np.cumsum(size)])
-    text = text[np.repeat(begin - at[:-1], size) + np.arange(at[-1])]
-    doc, start, origin = doc[order], start[order], origin[order]
+    text = text[np.repeat(begin[order] - at[:-1], size) + np.arange(at[-1])]
+    doc, start, origin, windows = doc[order], start[order], origin[order], windows[order]
     again = repeated_windows(text, at, windows, 128 - lo[order].astype(np.int64), length)
     if not again.any():
         return []

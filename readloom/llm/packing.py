@@ -2,7 +2,7 @@
 
 Documents are dealt to shards by hash of doc_id; a shard holds at most `shard_docs` documents and about `shard_bytes`
 of text (or one longer document), whatever the input. Whole windows of a document stand alone. Its rest is a seed: a
-BM25 index over the words of the shard's documents returns the unused ones most like the seed, which fill its window
+BM25 index over the tokens of the shard's documents returns the unused ones most like the seed, which fill its window
 in that order; the last is cut so that the window is full, and what is left of it stays unused. Documents without a
 neighbour follow in order of doc_id. What a shard has at its end is cut to powers of two, which need no padding.
 
@@ -37,18 +37,17 @@ class PackParams:
 
 
 class Bm25:
-    """An inverted index over the word sets of a shard; a document's query is its highest weighted terms."""
+    """An inverted index over the tokens of a shard's documents; a document's query is its highest weighted terms."""
 
-    def __init__(self, raw: np.ndarray, off: np.ndarray, p: PackParams):
-        n = len(off) - 1
+    def __init__(self, ids: list[np.ndarray], p: PackParams):
+        n = len(ids)
         docs, terms, tfs = [], [], []
-        for i, j in B.slices(off):
-            h, _, _, at = B.words(raw[off[i]:off[j]], off[i:j + 1] - off[i])
-            for k in range(j - i):
-                t, c = np.unique(h[at[k]:at[k + 1]], return_counts=True)
-                docs.append(np.full(len(t), i + k))
-                terms.append(t)
-                tfs.append(c)
+        for i, x in enumerate(ids):
+            s = np.sort(x)
+            edge = B.starts_of(s)
+            docs.append(np.full(len(edge) - 1, i))
+            terms.append(s[edge[:-1]])
+            tfs.append(np.diff(edge))
         doc, term, tf = np.concatenate(docs), np.concatenate(terms), np.concatenate(tfs).astype(np.float64)
         size = np.bincount(doc, tf, n)
         order = np.argsort(term, kind="stable")
@@ -150,11 +149,10 @@ def pack_partition(p: PackParams):
         seq = TaskContext.get().partitionId() << 36
         for table in shards(batches, p):
             docs = B.long_array(table["doc_id"])
-            raw, off = B.text_bytes(table["text"])
             ids = [np.concatenate([x, end]) for x in enc.encode(table["text"].to_pylist())]
             sizes = np.array([len(x) for x in ids])
             out = []
-            for pieces in pack_shard(sizes, Bm25(raw, off, p), p.window):
+            for pieces in pack_shard(sizes, Bm25(ids, p), p.window):
                 at = 0
                 for i, s, k in pieces:
                     out.append((int(docs[i]), s, k, zlib.crc32(ids[i][s:s + k].astype("<u4").tobytes()), int(sizes[i]), seq, at))

@@ -7,7 +7,7 @@ from readloom.llm import chat, codes, queries, tokens
 from tokenizers import Tokenizer
 
 SF = "/root/testdata/sf0.01"
-TEXTS = ["", None, " ", "  ", "a  b", "a \nb", "x\n y", "x\n \ny", " lead", "trail ", "tab\t x", "a  b", "a 　b", "<|endoftext|> x<|endoftext|>", "don't  I'll", "é ß 日本 語", "a\r\n b", "\n ", "1 2  3 . . ,"]
+TEXTS = ["", None, " ", "  ", "a  b", "a \nb", "x\n y", "x\n \ny", " lead", "trail ", "tab\t x", "a  b", "a 　b", "<|endoftext|> x<|endoftext|>", "don't  I'll", "é ß 日本 語", "a\r\n b", "\n ", "1 2  3 . . ,", "a.\nB a\n\nb .\n!x a\n.b \nq q\n r\n", "x\n", "\nx", "a.\n\n.b c\n", "it's we'll. I'm", "x_y z9.a ²a a² ª", "\n a", "é.\nÉ", "a. .b ..c\n,"]
 
 
 def ids_of(tk, t):

@@ -18,10 +18,12 @@ are searched once for each row; an item_id that repeats counts as one item with
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +39,7 @@ class DecontaminateParams:
     threshold: float = 0.5
     k1: float = 1.2
     b: float = 0.75
-    block: int = 16
+    block: int = 4
     shingle: int = 5
     question: float = 0.6
     answer: float = 0.6
@@ -68,6 +70,7 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]], p: DecontaminateParams):
         self.p = p
+        self.cache: dict[int, tuple] = {}
         self.items = [(i, *[hash_words(x) for x in (t, *split_item(t))]) for i, t in items]
         units = []
         for k, (_, w, _, _) in enumerate(self.items):
@@ -96,42 +99,53 @@ class Index:
         self.bound_at = np.searchsorted(term[edge], np.arange(len(postings) + 1))
         self.n_blocks = int(block.max()) + 1 if len(flat) else 0
 
+    def lists(self, term: int) -> tuple[list, list, dict, float]:
+        """Units, scores, bounds by block and largest score of a term, as Python values: they are read one at a time."""
+        x = self.cache.get(term)
+        if x is None:
+            (a, b), (c, d) = self.at[term:term + 2].tolist(), self.bound_at[term:term + 2].tolist()
+            x = self.cache[term] = (self.unit[a:b].tolist(), self.score[a:b].tolist(), dict(zip(self.bound_block[c:d].tolist(), self.bound[c:d].tolist())), float(self.most[term]))
+        return x
+
     def wand(self, terms: np.ndarray) -> list[tuple[int, float]]:
         """All units that score at least the threshold for a set of terms, unit by unit."""
-        goal = self.p.threshold - 1e-9
-        lists = [[int(self.at[t]), int(self.at[t + 1]), float(self.most[t]), int(t)] for t in terms.tolist()]
-        unit, score, out = self.unit, self.score, []
+        goal, size, out = self.p.threshold - 1e-9, self.p.block, []
+        cursors = [[x[0][0], 0, *x] for x in map(self.lists, terms.tolist())]  # unit, place, units, scores, bounds, most
         while True:
-            lists = sorted((x for x in lists if x[0] < x[1]), key=lambda x: unit[x[0]])
+            cursors.sort(key=itemgetter(0))
             total, pivot = 0.0, -1
-            for k, x in enumerate(lists):
-                total += x[2]
+            for k, x in enumerate(cursors):
+                total += x[5]
                 if total >= goal:
                     pivot = k
                     break
             if pivot < 0:
                 return out
-            u = int(unit[lists[pivot][0]])
-            block = u // self.p.block
-            involved = [x for x in lists if unit[x[0]] <= u]
-            if sum(self.block_bound(x[3], block) for x in involved) < goal:
-                to = min([(block + 1) * self.p.block, *[int(unit[x[0]]) for x in lists if unit[x[0]] > u]])
+            u = cursors[pivot][0]
+            while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == u:
+                pivot += 1
+            involved, block = cursors[:pivot + 1], u // size
+            if sum([x[4].get(block, 0.0) for x in involved]) < goal:  # no unit of this block can do it
+                to = (block + 1) * size
+                if pivot + 1 < len(cursors):
+                    to = min(to, cursors[pivot + 1][0])
+            else:
+                to, value = u + 1, 0.0
                 for x in involved:
-                    x[0] += int(np.searchsorted(unit[x[0]:x[1]], to))
-                continue
-            value = 0.0
+                    k = bisect_left(x[2], u, x[1])
+                    if k < len(x[2]) and x[2][k] == u:
+                        value += x[3][k]
+                if value >= goal:
+                    out.append((u, value))
+            ended = False
             for x in involved:
-                x[0] += int(np.searchsorted(unit[x[0]:x[1]], u))
-                if x[0] < x[1] and unit[x[0]] == u:
-                    value += float(score[x[0]])
-                    x[0] += 1
-            if value >= goal:
-                out.append((u, value))
-
-    def block_bound(self, term: int, block: int) -> float:
-        a, b = self.bound_at[term], self.bound_at[term + 1]
-        k = a + int(np.searchsorted(self.bound_block[a:b], block))
-        return float(self.bound[k]) if k < b and self.bound_block[k] == block else 0.0
+                x[1] = k = bisect_left(x[2], to, x[1])
+                if k < len(x[2]):
+                    x[0] = x[2][k]
+                else:
+                    x[0], ended = -1, True
+            if ended:
+                cursors = [x for x in cursors if x[0] >= 0]
 
     def search(self, h: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
         """(row, first word of the passage, unit, score) for all passages of rows of words."""

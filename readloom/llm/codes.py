@@ -90,8 +90,8 @@ class Codes:
         value = np.zeros(0, np.uint32)
         for chunk, bits, _ in reversed(self.levels):
             whole = chunk.astype(np.uint32)
-            more = np.unpackbits(bits, count=len(chunk), bitorder="little").view(bool)
-            whole[more] |= value << np.uint32(8)
+            more = np.flatnonzero(np.unpackbits(bits, count=len(chunk), bitorder="little").view(bool))
+            whole[more] += value << np.uint32(8)
             value = whole
         return value
 
@@ -128,8 +128,8 @@ def digest(first: dict[int, int]):
         for batch in batches:
             for part, base, file in zip(batch.column("part").to_pylist(), batch.column("base").to_pylist(), batch.column("file")):
                 c = Codes(file.as_py())
-                ids, spans = c.tokens(), [c.document(k) for k in range(len(c.docs))]
-                crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in spans]
+                ids, spans = c.tokens().astype("<u4", copy=False), [c.document(k) for k in range(len(c.docs))]
+                crc = [zlib.crc32(ids[a:b].data) for a, b in spans]
                 yield pa.RecordBatch.from_arrays([pa.array(c.docs.astype(np.int64)), pa.array([first[part] + base + a for a, _ in spans], pa.int64()), pa.array([b - a for a, b in spans], pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
     return run
 

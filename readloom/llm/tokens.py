@@ -13,8 +13,8 @@ from array import array
 
 import numpy as np
 
-#: Pieces that a worker remembers in each generation of a memory; bounds its memory to about 200 MB.
-REMEMBER = 700_000
+#: Pieces that a worker remembers in each generation of a memory; bounds its memory to about 150 MB.
+REMEMBER = 400_000
 _RUN = re.compile(r"\s (?=\s|\Z)| \Z")
 _LETTERS, _STOPS = "[A-Za-zÀ-ÖØ-öø-ÿ]++", "[.,;:!?]++"
 _PLAIN = re.compile(f"(?:{_LETTERS}|{_STOPS})(?:{_LETTERS}|{_STOPS}|(?<!\n)\n(?=[^\n]))*\\Z")

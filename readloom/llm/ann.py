@@ -6,8 +6,9 @@ descent. A query walks the tree through a priority queue, nearest centroid first
 compared in double precision.
 
 Equal vectors are one candidate that carries the 21 smallest of their ids: with ties going to smaller ids, no query can
-return others. Leaves are split into blocks of `block` candidates, and queries of much visited leaves likewise, so no
-leaf becomes one task.
+return others. Neighbouring leaves are bundled up to about `block` candidates, and a query has one row a bundle that
+says which of its leaves are visited; only those are searched. Bundles are split into blocks of `block` candidates, and
+queries of much visited bundles likewise, so no bundle becomes one task.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part. Rows
 without vec_id are left out. A vec_id that repeats counts once for each different vector.
@@ -44,7 +45,7 @@ class Tree:
         self.children: list[list[int]] = []
         self.centers: list[np.ndarray] = []
         self.leaf: list[int] = []
-        self.n_leaves = 0
+        self.sizes: list[int] = []
 
     def add(self) -> int:
         self.children.append([])
@@ -52,6 +53,10 @@ class Tree:
         self.leaf.append(-1)
         return len(self.leaf) - 1
 
+    @property
+    def n_leaves(self) -> int:
+        return len(self.sizes)
+
     def fit(self, x: np.ndarray, target: int, branch: int, rng: np.random.Generator) -> int:
         node = self.add()
         if len(x) > target and len(x) > branch:
@@ -65,7 +70,8 @@ class Tree:
                 self.centers[node] = c[used]
                 self.children[node] = [self.fit(x[own == i], target, branch, rng) for i in used]
                 return node
-        self.leaf[node], self.n_leaves = self.n_leaves, self.n_leaves + 1
+        self.leaf[node] = self.n_leaves
+        self.sizes.append(len(x))
         return node
 
     def assign(self, x: np.ndarray) -> np.ndarray:
@@ -80,16 +86,33 @@ class Tree:
                 todo += [(c, rows[own == i]) for i, c in enumerate(self.children[node])]
         return out
 
-    def visit(self, q: np.ndarray, m: int) -> list[int]:
-        """The first m leaves, best bin first."""
-        heap, out = [(0.0, 0)], []
-        while heap and len(out) < m:
-            _, node = heapq.heappop(heap)
-            if self.leaf[node] >= 0:
-                out.append(self.leaf[node])
-            else:
-                for s, c in zip((-(self.centers[node] @ q)).tolist(), self.children[node]):
-                    heapq.heappush(heap, (s, c))
+    def bundles(self, scale: float, block: int) -> np.ndarray:
+        """Bundle of each leaf: leaves in a row, of `block` vectors at most by their sample sizes times `scale`, or one leaf."""
+        out, held = [], 0.0
+        for size in self.sizes:
+            held += size * scale
+            fresh = not out or held > block
+            out.append(out[-1] + 1 if out and fresh else out[-1] if out else 0)
+            if fresh:
+                held = size * scale
+        return np.array(out, np.int32)
+
+    def visit(self, q: np.ndarray, m: int) -> list[list[int]]:
+        """The first m leaves of each query, best bin first."""
+        inner = [i for i, c in enumerate(self.children) if c]
+        place = {c: k for k, c in enumerate(c for i in inner for c in self.children[i])}
+        far = -(q @ np.concatenate([self.centers[i] for i in inner]).T) if inner else np.zeros((len(q), 0))
+        out = []
+        for s in far:
+            s, heap, leaves = s.tolist(), [(0.0, 0)], []
+            while heap and len(leaves) < m:
+                _, node = heapq.heappop(heap)
+                if self.leaf[node] >= 0:
+                    leaves.append(self.leaf[node])
+                else:
+                    for c in self.children[node]:
+                        heapq.heappush(heap, (s[place[c]], c))
+            out.append(leaves)
         return out
 
 
@@ -110,8 +133,7 @@ def calibrate(tree: Tree, x: np.ndarray, total: int, p: AnnParams, rng: np.rando
     if k < 1:
         return tree.n_leaves
     true = np.argpartition(-s, k - 1, axis=1)[:, :k]
-    order = [tree.visit(x[i], tree.n_leaves) for i in q]
-    place = np.stack([np.argsort(o)[leaf[t]] for o, t in zip(order, true)])
+    place = np.stack([np.argsort(o)[leaf[t]] for o, t in zip(tree.visit(x[q], tree.n_leaves), true)])
     m = 1
     while m < tree.n_leaves and (place < m).mean() < p.recall:
         m = min(tree.n_leaves, max(m + 1, m * 17 // 16))
@@ -153,50 +175,70 @@ def search(vectors: DataFrame, p: AnnParams = AnnParams(), every: int = 20) -> D
     tree = Tree()
     tree.fit(x, max(8, p.leaf * len(x) // max(total, 1)), p.branch, rng)
     m = calibrate(tree, x, total, p, rng)
+    bundle = tree.bundles(total / len(x), p.block)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(tree.assign(matrix(b.column("v")))), b.column("cid"), b.column("ids"), b.column("v")], names=["leaf", "cid", "ids", "v"])
+            leaf = tree.assign(matrix(b.column("v")))
+            yield pa.RecordBatch.from_arrays([pa.array(bundle[leaf]), pa.array(leaf), b.column("cid"), b.column("ids"), b.column("v")], names=["bundle", "leaf", "cid", "ids", "v"])
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             q = matrix(b.column("v"))
             for i in range(0, len(q), 256):
-                leaves = [tree.visit(r, m) for r in q[i:i + 256]]
-                at = np.repeat(np.arange(len(leaves)), [len(r) for r in leaves]) + i
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(leaves).astype(np.int32)), b.column("qid").take(pa.array(at)), b.column("v").take(pa.array(at))], names=["leaf", "qid", "v"])
+                found = tree.visit(q[i:i + 256], m)
+                leaf = np.concatenate(found).astype(np.int32)
+                asks = np.repeat(np.arange(len(found)), [len(r) for r in found]) + i
+                order = np.lexsort((leaf, asks))
+                leaf, asks = leaf[order], asks[order]
+                own = bundle[leaf]  # ascends with the leaf
+                start = np.flatnonzero(np.concatenate([[True], (asks[1:] != asks[:-1]) | (own[1:] != own[:-1])]))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(start, len(leaf)), pa.int32()), pa.array(leaf))
+                at = pa.array(asks[start])
+                yield pa.RecordBatch.from_arrays([pa.array(own[start]), lists, b.column("qid").take(at), b.column("v").take(at)], names=["bundle", "leaves", "qid", "v"])
 
     vec = "array<double>"
-    placed = B.cut(cls.select("cid", "ids", "v").mapInArrow(assign, f"leaf int, cid bigint, ids array<bigint>, v {vec}"))
+    placed = B.cut(cls.select("cid", "ids", "v").mapInArrow(assign, f"bundle int, leaf int, cid bigint, ids array<bigint>, v {vec}"))
     asked = v.where(F.pmod("vec_id", F.lit(every)) == 0)
     q = asked.groupBy("v").agg(F.min("vec_id").alias("qid"))
-    seen = B.cut(q.select("qid", "v").mapInArrow(visits, f"leaf int, qid bigint, v {vec}"))
-    # both tables have a row a leaf, and there are at most as many leaves as sample vectors
-    parts = lambda df, name: df.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / p.block).cast("int").alias(name))
-    split = F.broadcast(parts(placed, "nc").join(parts(seen, "nq"), "leaf"))
+    seen = B.cut(q.select("qid", "v").mapInArrow(visits, f"bundle int, leaves array<int>, qid bigint, v {vec}"))
+    # both tables have a row a bundle, and there are at most as many bundles as sample vectors
+    parts = lambda df, name: df.groupBy("bundle").agg(F.ceil(F.count(F.lit(1)) / p.block).cast("int").alias(name))
+    split = F.broadcast(parts(placed, "nc").join(parts(seen, "nq"), "bundle"))
     part = lambda c, of: F.pmod(F.xxhash64(c), F.col(of)).cast("int")
     each = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
-    left = placed.join(split, "leaf").withColumn("bc", part("cid", "nc")).withColumn("bq", each("nq")).select("leaf", "bc", "bq", "cid", "ids", "v")
-    right = seen.join(split, "leaf").withColumn("bq", part("qid", "nq")).withColumn("bc", each("nc")).select("leaf", "bc", "bq", "qid", "v")
+    left = placed.join(split, "bundle").withColumn("bc", part("cid", "nc")).withColumn("bq", each("nq")).select("bundle", "bc", "bq", "leaf", "cid", "ids", "v")
+    right = seen.join(split, "bundle").withColumn("bq", part("qid", "nq")).withColumn("bc", each("nc")).select("bundle", "bc", "bq", "leaves", "qid", "v")
 
     def meet(cand: pa.Table, ask: pa.Table) -> pa.Table:
-        """The best of one block for each of its queries: a row a query, so that a visit moves one row."""
+        """The best of one block, in the leaves that they visit, for each of its queries: a row a query."""
         c, qs = matrix(cand["v"]), matrix(ask["v"])
         qid, size, score, vec = [], [0], [], []
         if len(c) and len(qs):
             lists = cand["ids"].combine_chunks()
             flat, off = B.long_array(lists.flatten()), np.concatenate([[0], np.cumsum(B.long_array(lists.value_lengths()))])
             asked_id = B.long_array(ask["qid"].combine_chunks())
+            held, leaf = np.unique(cand["leaf"].to_numpy(), return_inverse=True)
+            wanted = ask["leaves"].combine_chunks()
+            n = B.long_array(wanted.value_lengths())
+            wish = wanted.flatten().to_numpy()
+            at = np.searchsorted(held, wish).clip(max=len(held) - 1)
+            visited = np.zeros((len(qs), len(held)), bool)
+            visited[np.repeat(np.arange(len(qs)), n), at] |= held[at] == wish
         for i in range(0, len(qs) if len(c) else 0, 256):
             part = qs[i:i + 256]
-            s = part @ c.T
+            s = np.where(visited[i:i + 256, leaf], part @ c.T, -np.inf)
             take = min(len(c), keep + 4)
             top = np.argpartition(-s, take - 1, axis=1)[:, :take] if take < len(c) else np.broadcast_to(np.arange(len(c)), s.shape)
             exact = np.einsum("qd,qkd->qk", part, c[top])
+            real = np.take_along_axis(s, top, 1) > -np.inf
             for k in range(len(part)):
-                n = off[top[k] + 1] - off[top[k]]
-                ids = flat[np.repeat(off[top[k]] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-                worse = -np.repeat(exact[k], n)
+                own = top[k][real[k]]
+                if not len(own):
+                    continue
+                n = off[own + 1] - off[own]
+                ids = flat[np.repeat(off[own] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                worse = -np.repeat(exact[k][real[k]], n)
                 order = np.lexsort((ids, worse))[:keep]
                 qid.append(asked_id[i + k])
                 size.append(size[-1] + len(order))
@@ -206,7 +248,7 @@ def search(vectors: DataFrame, p: AnnParams = AnnParams(), every: int = 20) -> D
         best = pa.StructArray.from_arrays([z(score, pa.float64()), z(vec, pa.int64())], names=["worse", "vec_id"])
         return pa.table({"qid": pa.array(qid, pa.int64()), "best": pa.ListArray.from_arrays(pa.array(size, pa.int32()), best)})
 
-    near = left.groupBy("leaf", "bc", "bq").cogroup(right.groupBy("leaf", "bc", "bq")).applyInArrow(meet, "qid bigint, best array<struct<worse:double,vec_id:bigint>>")
+    near = left.groupBy("bundle", "bc", "bq").cogroup(right.groupBy("bundle", "bc", "bq")).applyInArrow(meet, "qid bigint, best array<struct<worse:double,vec_id:bigint>>")
     top = F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, keep)
     best = near.groupBy("qid").agg(top.alias("best")).select("qid", F.explode("best").alias("x")).select("qid", (-F.col("x.worse")).alias("score"), "x.vec_id")
     mine = asked.join(q.select("v", "qid"), "v").select(F.col("vec_id").alias("query_id"), "qid").distinct()

@@ -12,6 +12,10 @@ from readloom.functions.sequence import normalize
 from readloom.schema import InvalidParameter
 
 
+#: Characters of the pieces that a sequence is cut into, one within the other. A substring costs as much as what lies before it.
+BLOCKS = (8192, 128)
+
+
 def chunk_limit(gb: float) -> int:
     """Bytes of a chunk; single precision, then truncated."""
     if not gb > 0:
@@ -68,8 +72,14 @@ def seed_positions(binned: DataFrame, size: int) -> DataFrame:
     else:
         solid = solid.withColumn("ext", F.col("seq"))
     last = F.least(F.length("seq") - 1, F.length("ext") - size)
-    at = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    flat = solid.select("chunk_id", "bin_id", "start", "ext", F.explode(at).alias("i"))
+    flat = solid.select("chunk_id", "bin_id", "start", "ext", last.alias("last")).where(F.col("last") >= 0)
+    for block in BLOCKS:
+        if block == BLOCKS[-1]:  # there may be few chunks, whose windows are few tasks
+            flat = flat.repartition(int(flat.sparkSession.conf.get("spark.sql.shuffle.partitions")), "chunk_id", "start")
+        piece = F.substr("ext", F.col("i") + 1, F.lit(block + size - 1))
+        flat = (flat.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(block))))
+                .select("chunk_id", "bin_id", (F.col("start") + F.col("i")).alias("start"), piece.alias("ext"), F.least(F.col("last") - F.col("i"), F.lit(block - 1)).alias("last")))
+    flat = flat.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("last"))))
     return flat.select("chunk_id", F.substr("ext", F.col("i") + 1, F.lit(size)).alias("kmer"), (F.col("start") + F.col("i")).alias("site"), "bin_id")
 
 

@@ -2,8 +2,10 @@
 
 The tokenizer library encodes; this module only remembers what it said. Its pre-tokenizer never joins text across the
 place before a single space, nor across the edges of a run of letters, of stops or of one line break between them, so
-a text is the sequence of such pieces, and equal pieces have equal ids. Texts with other runs of white space around
-spaces, and pieces with anything else in them, are encoded whole.
+a text is the sequence of such pieces, and equal pieces have equal ids. Nor does it join a letter or digit with a stop
+after it, so stops before a space or line break are pieces of their own, and a word is remembered once, not once a stop.
+Texts with other runs of white space around spaces, or with the three control characters that mark pieces here, are encoded
+whole, as are pieces with anything else in them.
 """
 from __future__ import annotations
 
@@ -19,22 +21,30 @@ _RUN = re.compile(r"\s (?=\s|\Z)| \Z")
 _LETTERS, _STOPS = "[A-Za-zÀ-ÖØ-öø-ÿ]++", "[.,;:!?]++"
 _PLAIN = re.compile(f"(?:{_LETTERS}|{_STOPS})(?:{_LETTERS}|{_STOPS}|(?<!\n)\n(?=[^\n]))*\\Z")
 _PARTS = re.compile(f"{_LETTERS}|{_STOPS}|\n")
+#: A stop by itself, and a word after a line break.
+_STOP, _LINE, _BEFORE = "\x01", "\x02", "\x03"
+_MARKS = [(f"{c} ", f"{_BEFORE}{c} ") for c in ".,;:!?"] + [(f"{c}\n", f"{_BEFORE}{c} {_LINE}") for c in ".,;:!?"] + [(_BEFORE, f" {_STOP}")]
+_CUT, _BREAK = re.compile(r"(?<=[^\W_])([.,;:!?])(?=[ \n]|\Z)"), re.compile(rf"({_STOP}[.,;:!?])\n(?=\S)")
 _LOADED: dict[str, "Encoder"] = {}
 
 
 class Memory(dict):
     """Pieces and their ids. What is not used while a generation fills up is forgotten with the generation before.
 
-    A new piece gets an empty bytearray, which is filled when the encoder resolves all new pieces at once.
+    A new piece gets an empty bytearray, which is filled when the encoder resolves all new pieces at once. A piece that a
+    stop may not be cut from raises `odd` if the memory is a strict one, upon which its text is cut with more care.
     """
 
-    def __init__(self, before: str, old: dict | None = None):
+    def __init__(self, before: str, strict: bool = False, old: dict | None = None):
         super().__init__()
-        self.before, self.old, self.new = before, old or {}, []
+        self.before, self.strict, self.old, self.new, self.odd = before, strict, old or {}, [], False
 
     def __missing__(self, piece: str) -> bytes | bytearray:
         ids = self.old.get(piece)
         if ids is None:
+            if self.strict and not piece[-1:].isalnum() and piece[:1] != _STOP or piece[:1] == _LINE and piece[1].isspace():
+                self.odd = True
+                return b""
             ids = bytearray()
             self.new.append(piece)
         self[piece] = ids
@@ -44,7 +54,7 @@ class Memory(dict):
         if len(self) < REMEMBER:
             return self
         self.old = None
-        return Memory(self.before, self)
+        return Memory(self.before, self.strict, self)
 
 
 class Encoder:
@@ -54,7 +64,7 @@ class Encoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-        self.first, self.later = Memory(""), Memory(" ")
+        self.first, self.later, self.rough = Memory(""), Memory(" ", strict=True), Memory(" ")
         self.line_break = self.ids("\n")
 
     def ids(self, text: str) -> bytes:
@@ -77,15 +87,22 @@ class Encoder:
     def resolve(self) -> None:
         """Encodes all new pieces. A piece of several parts is put together from theirs."""
         parts = []
-        for m in (self.later, self.first):  # parts of later pieces may be new to first; parts of first ones have no parts
-            done, todo = m.new, []
-            for p in done:
-                if not p.isalpha() and _PLAIN.match(p) and len(x := _PARTS.findall(p)) > 1:
-                    parts.append((m, p, [m[x[0]], *map(self.first.__getitem__, x[1:])]))
+        for m in (self.rough, self.later, self.first):  # parts may be new to a memory that follows; parts of first ones have no parts
+            simple, todo = [], []
+            for p in m.new:
+                if p.isalpha():
+                    simple.append(p)
+                elif p[:1] == _LINE and (p.isascii() and p[1:].isalpha()):
+                    parts.append((m, p, [self.line_break, self.first[p[1:]]]))
+                elif p[:1] == _STOP or p[:1] == _LINE:
+                    m[p][:] = ids = self.ids(p[1:] if p[:1] == _STOP else "\n" + p[1:])
+                    m[p] = ids
+                elif p[:1] not in ".,;:!?" and _PLAIN.match(p) and len(x := _PARTS.findall(p)) > 1:
+                    parts.append((m, p, [(self.later if m.before else m)[x[0]], *map(self.first.__getitem__, x[1:])]))
                 else:
                     todo.append(p)
-            simple = [p for p in todo if p and not p.split(None, 1)[1:] and p.strip() == p]
-            odd = set(todo).difference(simple)
+            odd = [p for p in todo if not p or p.split(None, 1)[1:] or p.strip() != p]
+            simple += set(todo).difference(odd)
             for p, ids in [*zip(simple, self.many([m.before + p for p in simple])), *((p, self.ids(m.before + p)) for p in odd)]:
                 m[p][:] = ids
                 m[p] = ids
@@ -99,16 +116,22 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text as unsigned 32-bit numbers; null is empty."""
-        self.first, self.later = self.first.next(), self.later.next()
+        self.first, self.later, self.rough = self.first.next(), self.later.next(), self.rough.next()
         out = []
         for t in texts:
             if not t:
                 out.append(())
-            elif ("  " in t or "\n " in t or t[-1] == " " or "\t" in t or not t.isascii() or "\r" in t or "\f" in t or "\v" in t) and _RUN.search(t):
+            elif _STOP in t or _LINE in t or _BEFORE in t or ("  " in t or "\n " in t or t[-1] == " " or "\t" in t or not t.isascii() or "\r" in t or "\f" in t or "\v" in t) and _RUN.search(t):
                 out.append((self.ids(t),))
             else:
-                head, *rest = t.split(" ")
+                marked, self.later.odd = t + " ", False
+                for stop, mark in _MARKS:
+                    marked = marked.replace(stop, mark)
+                head, *rest = marked[:-1].split(" ")
                 pieces = list(map(self.later.__getitem__, rest))
+                if self.later.odd or head and not head[-1].isalnum():
+                    head, *rest = _BREAK.sub(rf"\1 {_LINE}", _CUT.sub(rf" {_STOP}\1", t)).split(" ")
+                    pieces = [(self.later if p[-1:].isalnum() or p[:1] == _STOP else self.rough)[p] for p in rest]
                 out.append([self.first[head], *pieces] if head else pieces)
         self.resolve()
         return [np.frombuffer(b"".join(x), "<u4") for x in out]

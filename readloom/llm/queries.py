@@ -12,7 +12,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def op1_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    out = lines.dedup_lines(table(spark, sf, "documents"))
+    out = lines.dedup_lines(table(spark, sf, "documents"), lines.WHOLE)
     return out.select("doc_id", "n_lines", "n_removed", F.length("text").cast("bigint").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
 
 

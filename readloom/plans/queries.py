@@ -175,6 +175,12 @@ def q_parse_edit_findings(spark, sf):
     return t.select("read_id", F.explode("hits").alias("h")).select("read_id", "h.*")
 
 
+def q_parse_edit_findings_all(spark, sf):
+    """The lines of all files, where parse_edit_findings has those of file 0."""
+    t = R.parse_edit_findings(sinks.default_line(["file_id"], line_hits(spark, sf)).select("file_id", "line"))
+    return t.select("file_id", "read_id", F.explode("hits").alias("h")).select("file_id", "read_id", "h.*")
+
+
 def q_collapse_taxid(spark, sf):
     return C.collapse_taxid(parsed(spark, sf))
 
@@ -299,6 +305,7 @@ ORACLES = {
     "format_taxa_only": f"WITH {_LINES}, t AS (SELECT DISTINCT read_id, tax_id FROM h) SELECT read_id || ':' || string_agg(CAST(tax_id AS VARCHAR), ',' ORDER BY tax_id) AS line FROM t GROUP BY read_id",
     "parse_findings": f"WITH {_LINES}, t AS (SELECT DISTINCT read_id, tax_id FROM h) SELECT read_id, string_agg(CAST(tax_id AS VARCHAR), ' ' ORDER BY tax_id) AS taxa FROM t GROUP BY read_id",
     "parse_edit_findings": f"WITH {_LINES} SELECT read_id, tax_id, CAST(0 AS BIGINT) AS gi, CAST(0 AS BIGINT) AS \"offset\", min(edit) AS edit FROM h WHERE file_id = 0 GROUP BY read_id, tax_id",
+    "parse_edit_findings_all": f"WITH {_LINES} SELECT file_id, read_id, tax_id, CAST(0 AS BIGINT) AS gi, CAST(0 AS BIGINT) AS \"offset\", min(edit) AS edit FROM h GROUP BY file_id, read_id, tax_id",
     "collapse_taxid": f"WITH {_LINES} SELECT read_id, tax_id, min(edit) AS edit FROM p GROUP BY 1, 2",
     "collapse_taxid_gi": f"WITH {_LINES}, r AS (SELECT *, row_number() OVER (PARTITION BY read_id, tax_id, gi ORDER BY edit, \"offset\") AS n FROM p) SELECT read_id, tax_id, gi, \"offset\", edit FROM r WHERE n = 1",
     "collapse_union": f"WITH {_LINES}, t AS (SELECT DISTINCT read_id, tax_id FROM h) SELECT read_id, string_agg(CAST(tax_id AS VARCHAR), ' ' ORDER BY tax_id) AS taxa FROM t GROUP BY read_id",

@@ -57,7 +57,7 @@ def parse_findings(lines: DataFrame) -> DataFrame:
 
 
 def parse_edit_findings(lines: DataFrame) -> DataFrame:
-    """(read_id, hits array<struct<tax_id, gi, offset, edit>>) from lines READ:TAX=EDIT; gi and offset are 0, longer tokens fail."""
+    """(read_id, hits array<struct<tax_id, gi, offset, edit>>) from lines READ:TAX=EDIT; gi and offset are 0, longer tokens fail. Other columns stay."""
     line = F.trim("line")
     read_id, hits = split_line(line)
 
@@ -65,7 +65,7 @@ def parse_edit_findings(lines: DataFrame) -> DataFrame:
         tax, edit = F.substring_index(token, "=", 1), F.substring_index(token, "=", -1)
         return F.struct(u32_or_fail(tax, "invalid taxon").alias("tax_id"), F.lit(0).cast("bigint").alias("gi"), F.lit(0).cast("bigint").alias("offset"), u32_or_fail(edit, "invalid edit").alias("edit"))
 
-    return lines.select(read_id.alias("read_id"), F.transform(F.filter(F.split(hits, ","), lambda t: t != ""), one).alias("hits"))
+    return lines.select(*[c for c in lines.columns if c != "line"], read_id.alias("read_id"), F.transform(F.filter(F.split(hits, ","), lambda t: t != ""), one).alias("hits"))
 
 
 def read_ids(lines: DataFrame) -> DataFrame:

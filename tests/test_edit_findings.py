@@ -1,0 +1,10 @@
+from readloom.plans import queries as core
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_lines_of_all_files(spark):
+    got = core.QUERIES["parse_edit_findings_all"](spark, SF)
+    want = core.line_hits(spark, SF).select("file_id", "read_id", "tax_id").distinct()
+    assert {r.file_id for r in got.select("file_id").distinct().collect()} == {0, 1, 2}
+    assert got.count() == want.count() and want.join(got, ["file_id", "read_id", "tax_id"], "left_anti").count() == 0

@@ -1,10 +1,12 @@
 """Packing of documents to fixed windows with lexical neighbours.
 
-Documents are dealt to shards by hash of doc_id; a shard holds at most `shard_docs` documents and about `shard_bytes`
-of text (or one longer document), whatever the input. Whole windows of a document stand alone. Its rest is a seed: a
-BM25 index over the tokens of the shard's documents returns the unused ones most like the seed, which fill its window
-in that order; the last is cut so that the window is full, and what is left of it stays unused. Documents without a
-neighbour follow in order of doc_id. What a shard has at its end is cut to powers of two, which need no padding.
+Documents are encoded once and written. Document frequencies and the average length are those of the whole table. Its
+rows are then put in order of their two heaviest shared terms, by those weights, so that documents about the same lie
+together, and cut into shards: a shard holds at most `shard_docs` documents and about `shard_bytes` of text (or one
+longer document), whatever the input. Whole windows of a document stand alone. Its rest is a seed: a BM25 index over
+the tokens of the shard's documents, queried with every term of the seed that another document has, returns the unused
+ones most like the seed, which fill its window in that order; the last is cut so that the window is full, and what is left of it stays unused. Documents without a
+neighbour follow in the order of the shard. What a shard has at its end is cut to powers of two, which need no padding.
 
 Rows without doc_id are left out; null and empty texts are one end token; every row is packed, repeated ones too.
 """
@@ -17,11 +19,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from readloom.llm import base as B, tokens as T
 
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
+CODED = "doc_id bigint, bytes bigint, ids binary"
 
 
 @dataclass(frozen=True)
@@ -31,43 +34,53 @@ class PackParams:
     end_id: int = 0
     shard_docs: int = 4096
     shard_bytes: int = 4 << 20
-    terms: int = 12
     k1: float = 1.2
     b: float = 0.75
 
 
+@dataclass(frozen=True)
+class Corpus:
+    """Of the whole table: documents, tokens a document, and by token the documents that have it."""
+    n: int
+    average: float
+    df: np.ndarray
+
+
+def term_counts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    s = np.sort(x)
+    edge = B.starts_of(s)
+    return s[edge[:-1]], np.diff(edge).astype(np.float64)
+
+
+def term_weights(term: np.ndarray, tf: np.ndarray, size: np.ndarray | int, all_: Corpus, p: PackParams) -> np.ndarray:
+    df = all_.df[term]
+    return np.log(1 + (all_.n - df + 0.5) / (df + 0.5)) * tf * (p.k1 + 1) / (tf + p.k1 * (1 - p.b + p.b * size / max(1.0, all_.average)))
+
+
 class Bm25:
-    """An inverted index over the tokens of a shard's documents; a document's query is its highest weighted terms."""
+    """An inverted index over the tokens of a shard's documents, weighted by the whole table; a document's query is all of its terms."""
 
-    def __init__(self, ids: list[np.ndarray], p: PackParams):
+    def __init__(self, ids: list[np.ndarray], all_: Corpus, p: PackParams):
         n = len(ids)
         docs, terms, tfs = [], [], []
         for i, x in enumerate(ids):
-            s = np.sort(x)
-            edge = B.starts_of(s)
-            docs.append(np.full(len(edge) - 1, i))
-            terms.append(s[edge[:-1]])
-            tfs.append(np.diff(edge))
-        doc, term, tf = np.concatenate(docs), np.concatenate(terms), np.concatenate(tfs).astype(np.float64)
-        size = np.bincount(doc, tf, n)
+            t, f = term_counts(x)
+            docs.append(np.full(len(t), i))
+            terms.append(t)
+            tfs.append(f)
+        doc, term, tf = np.concatenate(docs), np.concatenate(terms), np.concatenate(tfs)
+        weight = term_weights(term, tf, np.bincount(doc, tf, n)[doc], all_, p)
         order = np.argsort(term, kind="stable")
         edge = B.starts_of(term[order])
         number = np.empty(len(term), np.int64)
         number[order] = np.repeat(np.arange(len(edge) - 1), np.diff(edge))
-        df = np.diff(edge)
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        weight = idf[number] * tf * (p.k1 + 1) / (tf + p.k1 * (1 - p.b + p.b * size[doc] / max(1.0, size.mean())))
         self.at, self.docs, self.weights, self.n = edge, doc[order], weight[order], n
-        shared = np.where(df[number] > 1, weight, 0)  # a term of one document finds nothing
-        self.query: list[np.ndarray] = []
+        shared = np.diff(edge)[number] > 1  # a term of one document finds nothing
         first = np.searchsorted(doc, np.arange(n + 1))
-        for i in range(n):
-            w = shared[first[i]:first[i + 1]]
-            top = np.argsort(-w, kind="stable")[:p.terms]
-            self.query.append(number[first[i]:first[i + 1]][top[w[top] > 0]])
+        self.query = [number[a:b][shared[a:b]] for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
 
     def neighbours(self, i: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents that share a query term of document i, most similar first."""
+        """Unused documents that share a term with document i, most similar first."""
         q = self.query[i]
         if not len(q):
             return q
@@ -127,10 +140,10 @@ def pack_shard(sizes: np.ndarray, index: Bm25, window: int) -> Iterator[list[tup
                 yield seq
 
 
-def shards(batches: Iterator[pa.RecordBatch], p: PackParams) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list]]:
+def shards(batches: Iterator[pa.RecordBatch], p: PackParams) -> Iterator[pa.Table]:
     held, rows, size = [], 0, 0
     for batch in batches:
-        _, off = B.text_bytes(batch.column("text"))
+        off = np.concatenate([[0], np.cumsum(B.long_array(batch.column("bytes")))])
         for i, j in B.slices(off, p.shard_bytes):
             for a in range(i, j, p.shard_docs):
                 b = min(j, a + p.shard_docs)
@@ -143,19 +156,71 @@ def shards(batches: Iterator[pa.RecordBatch], p: PackParams) -> Iterator[tuple[n
         yield pa.Table.from_batches(held)
 
 
-def pack_partition(p: PackParams):
+def encode(p: PackParams):
+    """(doc_id, text) -> (doc_id, bytes of text, ids)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = T.encoder(p.tokenizer), np.array([p.end_id], np.uint32)
+        for batch in batches:
+            _, off = B.text_bytes(batch.column("text"))
+            for i, j in B.slices(off, p.shard_bytes):
+                ids = [np.concatenate([x, end]).astype("<u4").tobytes() for x in enc.encode(batch.column("text").slice(i, j - i).to_pylist())]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(np.diff(off[i:j + 1])), B.binary_column(ids)], names=["doc_id", "bytes", "ids"])
+    return run
+
+
+def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """ids -> (term, df, documents, tokens), summed over the task; term -1 has the last two."""
+    df, n, tokens = np.zeros(0, np.int64), 0, 0
+    for batch in batches:
+        for x in batch.column("ids"):
+            t, f = term_counts(np.frombuffer(x.as_py(), "<u4"))
+            if int(t[-1]) >= len(df):
+                df = np.concatenate([df, np.zeros(int(t[-1]) + 1 - len(df), np.int64)])
+            df[t] += 1
+            n, tokens = n + 1, tokens + int(f.sum())
+    term = np.flatnonzero(df)
+    zero = np.zeros(len(term), np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(term, -1)), pa.array(np.append(df[term], 0)), pa.array(np.append(zero, n)), pa.array(np.append(zero, tokens))], names=["term", "df", "docs", "tokens"])
+
+
+def corpus(coded: DataFrame) -> Corpus:
+    """At most a row a token of the vocabulary comes to the driver."""
+    rows = coded.select("ids").mapInArrow(count_terms, "term bigint, df bigint, docs bigint, tokens bigint").groupBy("term").agg(F.sum("df").alias("df"), F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).collect()
+    df = np.zeros(max([r.term for r in rows], default=-1) + 1, np.int64)
+    for r in rows:
+        if r.term >= 0:
+            df[r.term] = r.df
+    n = sum(r.docs for r in rows)
+    return Corpus(n, sum(r.tokens for r in rows) / max(1, n), df)
+
+
+def route(all_: Corpus, p: PackParams):
+    """Adds the two heaviest terms that another document has, the rarer first."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for x in batch.column("ids"):
+                t, f = term_counts(np.frombuffer(x.as_py(), "<u4"))
+                w = np.where(all_.df[t] > 1, term_weights(t, f, f.sum(), all_, p), -1.0)
+                top = t[np.argsort(-w, kind="stable")[:2]].tolist()
+                top.sort(key=lambda k: (all_.df[k], k))
+                out.append(top[0] << 32 | top[-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], names=["doc_id", "bytes", "ids", "route"])
+    return run
+
+
+def pack_partition(p: PackParams, all_: Corpus):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seq = TaskContext.get().partitionId() << 36
         for table in shards(batches, p):
             docs = B.long_array(table["doc_id"])
-            ids = [np.concatenate([x, end]) for x in enc.encode(table["text"].to_pylist())]
+            ids = [np.frombuffer(x, "<u4") for x in table["ids"].to_pylist()]
             sizes = np.array([len(x) for x in ids])
             out = []
-            for pieces in pack_shard(sizes, Bm25(ids, p), p.window):
+            for pieces in pack_shard(sizes, Bm25(ids, all_, p), p.window):
                 at = 0
                 for i, s, k in pieces:
-                    out.append((int(docs[i]), s, k, zlib.crc32(ids[i][s:s + k].astype("<u4").tobytes()), int(sizes[i]), seq, at))
+                    out.append((int(docs[i]), s, k, zlib.crc32(ids[i][s:s + k].tobytes()), int(sizes[i]), seq, at))
                     at += k
                 seq += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=[f.split()[0] for f in SCHEMA.split(", ")])
@@ -164,5 +229,8 @@ def pack_partition(p: PackParams):
 
 def pack(docs: DataFrame, p: PackParams = PackParams()) -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of all documents (doc_id, text)."""
-    d = B.documents(docs).repartition(B.parts(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id")
-    return d.mapInArrow(pack_partition(p), SCHEMA)
+    n = B.parts(docs.sparkSession)
+    coded = B.cut(B.documents(docs).mapInArrow(encode(p), CODED))
+    all_ = corpus(coded)
+    routed = coded.mapInArrow(route(all_, p), CODED + ", route bigint")
+    return routed.repartitionByRange(n, "route", "doc_id").sortWithinPartitions("route", "doc_id").mapInArrow(pack_partition(p, all_), SCHEMA)

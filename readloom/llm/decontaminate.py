@@ -65,22 +65,33 @@ def split_item(text: str) -> tuple[str, str]:
     return " ".join(words[:cut]), " ".join(words[cut:])
 
 
+def units_of(w: np.ndarray, p: DecontaminateParams) -> list[np.ndarray]:
+    starts = [max(0, min(s, len(w) - p.unit)) for s in range(0, len(w), p.unit)]
+    return [w[s:s + p.unit] for s in starts]
+
+
+def statistics(groups: Iterator[list[tuple[int, str]]], p: DecontaminateParams) -> tuple[Counter, int, float]:
+    """Units that have each word, units, and words a unit, of the items of all groups."""
+    df, n, words = Counter(), 0, 0
+    for group in groups:
+        for _, t in group:
+            for u in units_of(hash_words(t), p):
+                df.update(set(u.tolist()))
+                n, words = n + 1, words + len(u)
+    return df, n, words / n if n else 1.0
+
+
 class Index:
-    """Units of items: postings by term with contributions, block by block."""
+    """Units of items: postings by term with contributions, block by block. `whole` has the statistics, else the items themselves."""
 
-    def __init__(self, items: list[tuple[int, str]], p: DecontaminateParams):
+    def __init__(self, items: list[tuple[int, str]], p: DecontaminateParams, whole: tuple[Counter, int, float] | None = None):
         self.p = p
         self.cache: dict[int, tuple] = {}
         self.items = [(i, *[hash_words(x) for x in (t, *split_item(t))]) for i, t in items]
-        units = []
-        for k, (_, w, _, _) in enumerate(self.items):
-            for s in range(0, len(w), p.unit):
-                s = max(0, min(s, len(w) - p.unit))
-                units.append((k, w[s:s + p.unit]))
+        units = [(k, u) for k, (_, w, _, _) in enumerate(self.items) for u in units_of(w, p)]
         self.unit_item = np.array([k for k, _ in units], np.int64)
-        df = Counter(h for _, w in units for h in set(w.tolist()))
-        n, avg = len(units), np.mean([len(w) for _, w in units]) if units else 1.0
-        self.terms = np.array(sorted(df), np.uint64)
+        df, n, avg = whole or statistics([items], p)
+        self.terms = np.array(sorted({h for _, w in units for h in w.tolist()}), np.uint64)
         number = {h: i for i, h in enumerate(self.terms.tolist())}
         postings: list[list[tuple[int, float]]] = [[] for _ in number]
         for u, (_, w) in enumerate(units):
@@ -224,7 +235,8 @@ def contaminated(docs: DataFrame, items: DataFrame, p: DecontaminateParams = Dec
     """(doc_id, item_id, score, question_overlap, answer_overlap, contaminated): every item retrieved for a document."""
     d = B.documents(docs)
     schema = "doc_id bigint, item_id bigint, score double, question_overlap double, answer_overlap double"
-    found = [d.mapInArrow(find(Index(group, p), [i for i, _ in group]), schema) for group in rounds(items, p)]
+    whole = statistics(rounds(items, p), p)
+    found = [d.mapInArrow(find(Index(group, p, whole), [i for i, _ in group]), schema) for group in rounds(items, p)]
     if not found:
         found = [d.sparkSession.createDataFrame([], schema)]
     out = reduce(DataFrame.unionAll, found)

@@ -57,8 +57,18 @@ def term_weights(term: np.ndarray, tf: np.ndarray, size: np.ndarray | int, all_:
     return np.log(1 + (all_.n - df + 0.5) / (df + 0.5)) * tf * (p.k1 + 1) / (tf + p.k1 * (1 - p.b + p.b * size / max(1.0, all_.average)))
 
 
+#: Weights are whole multiples of 1 / SCALE, so that sums are exact in any order.
+SCALE = 64
+#: Seeds whose scores over frequent terms are computed at once, and neighbours that are put in order at once.
+SEEDS, FIRST = 128, 64
+
+
 class Bm25:
-    """An inverted index over the tokens of a shard's documents, weighted by the whole table; a document's query is all of its terms."""
+    """An inverted index over the tokens of a shard's documents, weighted by the whole table; a document's query is all of its terms.
+
+    Terms that more than one in 16 of the documents have are columns of a matrix, as their postings would be walked over and
+    over; the others have postings. Scores are the same sums either way.
+    """
 
     def __init__(self, ids: list[np.ndarray], all_: Corpus, p: PackParams):
         n = len(ids)
@@ -69,26 +79,52 @@ class Bm25:
             terms.append(t)
             tfs.append(f)
         doc, term, tf = np.concatenate(docs), np.concatenate(terms), np.concatenate(tfs)
-        weight = term_weights(term, tf, np.bincount(doc, tf, n)[doc], all_, p)
+        weight = np.rint(SCALE * term_weights(term, tf, np.bincount(doc, tf, n)[doc], all_, p)).astype(np.float32)
         order = np.argsort(term, kind="stable")
         edge = B.starts_of(term[order])
+        size = np.diff(edge)
         number = np.empty(len(term), np.int64)
-        number[order] = np.repeat(np.arange(len(edge) - 1), np.diff(edge))
-        self.at, self.docs, self.weights, self.n = edge, doc[order], weight[order], n
-        shared = np.diff(edge)[number] > 1  # a term of one document finds nothing
-        first = np.searchsorted(doc, np.arange(n + 1))
-        self.query = [number[a:b][shared[a:b]] for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
-
-    def neighbours(self, i: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents that share a term with document i, most similar first."""
-        q = self.query[i]
-        if not len(q):
-            return q
-        place = np.concatenate([np.arange(self.at[t], self.at[t + 1]) for t in q])
-        score = np.bincount(self.docs[place], self.weights[place], self.n)
-        score[~unused] = 0
-        found = np.flatnonzero(score)
-        return found[np.argsort(-score[found], kind="stable")]
+        number[order] = np.repeat(np.arange(len(size)), size)
+        frequent = size > max(8, n // 16)
+        column = np.cumsum(frequent) - 1
+        here = frequent[number]
+        self.weights = np.zeros((n, int(frequent.sum())), np.float32)
+        self.weights[doc[here], column[number[here]]] = weight[here]
+        self.at, self.docs, self.postings, self.n = edge, doc[order], weight[order], n
+        rare = ~here & (size[number] > 1)  # a term of one document finds nothing
+        first = np.concatenate([[0], np.cumsum(np.bincount(doc[rare], minlength=n))])
+        self.query, self.first = number[rare], first
+        self.scores: dict[int, np.ndarray] = {}
+
+    def score(self, i: int, unused: np.ndarray) -> np.ndarray:
+        if i not in self.scores:
+            rows = np.arange(i, min(self.n, i + SEEDS))
+            rows = rows[unused[rows] | (rows == i)]
+            self.scores = dict(zip(rows.tolist(), (self.weights[rows] > 0).astype(np.float32) @ self.weights.T))
+        q = self.query[self.first[i]:self.first[i + 1]]
+        start, size = self.at[q], self.at[q + 1] - self.at[q]
+        place = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+        return self.scores[i] + np.bincount(self.docs[place], self.postings[place], self.n)
+
+    def neighbours(self, i: int, unused: np.ndarray) -> Iterator[int]:
+        """Unused documents that share a term with document i, most similar first, equal ones in order."""
+        score = np.where(unused, self.score(i, unused), 0).astype(np.int64)
+        key = score * self.n + np.arange(self.n - 1, -1, -1)
+        some = np.flatnonzero(score > 0)
+        while len(some):
+            if len(some) > FIRST:
+                part = np.argpartition(-key[some], FIRST)
+                now, some = some[part[:FIRST]], some[part[FIRST:]]
+            else:
+                now, some = some, some[:0]
+            yield from now[np.argsort(-key[now])].tolist()
+
+
+def fill(index: Bm25, seed: int, unused: np.ndarray) -> Iterator[int]:
+    """The seed, its neighbours, and then what else is unused, in order."""
+    yield seed
+    yield from index.neighbours(seed, unused)
+    yield from np.flatnonzero(unused).tolist()
 
 
 def pack_shard(sizes: np.ndarray, index: Bm25, window: int) -> Iterator[list[tuple[int, int, int]]]:
@@ -106,23 +142,14 @@ def pack_shard(sizes: np.ndarray, index: Bm25, window: int) -> Iterator[list[tup
         if cursor == n:
             return
         now, room, seed = [], window, cursor
-        queue: list[int] = [seed]
-        asked = later = False
-        while room:
-            if not queue:
-                if not asked:
-                    queue, asked = index.neighbours(seed, unused)[::-1].tolist(), True
-                    continue
-                if not later:
-                    queue, later = np.flatnonzero(unused)[::-1].tolist(), True
-                    continue
-                break
-            i = queue.pop()
+        for i in fill(index, seed, unused):
             take = int(min(room, sizes[i] - done[i]))
             now.append((i, int(done[i]), take))
             done[i] += take
             room -= take
             unused[i] = done[i] < sizes[i]
+            if not room:
+                break
         if not room:
             yield now
             continue

@@ -1,6 +1,8 @@
+import math
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
+import numpy as np
 from readloom.llm import packing
 
 
@@ -25,3 +27,26 @@ def test_statistics_of_the_whole_table(spark):
     docs = spark.createDataFrame([(i, "apple pear" if i % 2 else "iron") for i in range(50)], "doc_id long, text string").repartition(5)
     all_ = packing.corpus(docs.mapInArrow(packing.encode(packing.PackParams()), packing.CODED))
     assert all_.n == 50 and all_.df[0] == 50 and 25 in all_.df
+
+
+def test_neighbours_like_plain_bm25():
+    """The order of all neighbours of every document, against a sum over dictionaries with the same rounding."""
+    rng = np.random.default_rng(4)
+    ids = [np.concatenate([rng.zipf(1.3, rng.integers(1, 200)) % 3000 + 1, [0]]).astype(np.uint32) for _ in range(300)]
+    df = np.zeros(3001, np.int64)
+    for x in ids:
+        df[np.unique(x)] += 1
+    p, all_ = packing.PackParams(), packing.Corpus(300, float(np.mean([len(x) for x in ids])), df)
+    tf = [Counter(x.tolist()) for x in ids]
+    index, unused = packing.Bm25(ids, all_, p), rng.random(300) < 0.8
+    for i in range(0, 300, 7):
+        scores = {}
+        for j in np.flatnonzero(unused).tolist():
+            total = 0
+            for t in tf[i].keys() & tf[j].keys():
+                idf = math.log(1 + (300 - df[t] + 0.5) / (df[t] + 0.5))
+                f = tf[j][t]
+                total += round(packing.SCALE * idf * f * (p.k1 + 1) / (f + p.k1 * (1 - p.b + p.b * len(ids[j]) / all_.average)))
+            if total:
+                scores[j] = total
+        assert list(index.neighbours(i, unused)) == sorted(scores, key=lambda j: (-scores[j], j))

@@ -5,9 +5,11 @@ of documents counted, builds its trie and answers the blocks, so no task holds t
 nothing is broadcast. A block sends each different word and bigram once, whatever its frequency.
 
 A bucket's trie has two levels in one memory-mapped file: contexts in order of their hashes with Elias-Fano pointers to
-their successors, and the successors as one Elias-Fano sequence. A successor is stored relative to its context, as
-context * words + rank of the word, which rises through the whole level; a bigram is looked up by a successor search in
-it. Each entry carries its discounted probability in eight bits, and each context its back-off weight.
+their successors, and the successors as one Elias-Fano sequence. A successor is stored relative to its context, as the
+rank of the word plus one more than the value that ends the context before, so the level rises and is no longer than
+its ranks. A bigram is looked up by following the pointers of its context to a range, taking the range's base from the
+value before it, and a successor search that must end inside the range. Each entry carries its discounted probability in
+eight bits, and each context its back-off weight.
 
 p(w | c) = max(n(c, w) - discount, 0) / n(c) + discount * types(c) / n(c) * p(w), with p(w) the add-half unigram
 probability; an unseen context leaves p(w). It sums to one over the known words and one unknown word.
@@ -56,6 +58,7 @@ class EliasFano:
 
     def __init__(self, arrays: list[np.ndarray], n: int, low_bits: int):
         self.low, self.high, self.zeros = arrays
+        self.ones = 64 * np.arange(len(self.zeros)) - self.zeros
         self.n, self.bits = n, low_bits
 
     @staticmethod
@@ -79,11 +82,12 @@ class EliasFano:
         zeros = np.concatenate([[0], np.cumsum(64 - np.bitwise_count(high).astype(np.int64))])
         return [low, high, zeros], n, bits
 
-    def select_zero(self, k: np.ndarray) -> np.ndarray:
-        """Place of the k-th zero (from 0) in the high bits."""
-        word = np.searchsorted(self.zeros, k, "right") - 1
-        left = (k - self.zeros[word]).astype(np.uint64)
-        bits = ~self.high[word]
+    def select(self, k: np.ndarray, bit: int) -> np.ndarray:
+        """Place of the k-th one or zero (from 0) in the high bits."""
+        before = self.ones if bit else self.zeros
+        word = np.searchsorted(before, k, "right") - 1
+        left = (k - before[word]).astype(np.uint64)
+        bits = self.high[word] if bit else ~self.high[word]
         at = np.zeros(len(k), np.int64)
         for width in (32, 16, 8, 4, 2, 1):
             count = np.bitwise_count(bits & np.uint64((1 << width) - 1)).astype(np.uint64)
@@ -93,6 +97,10 @@ class EliasFano:
             at += np.where(go, width, 0)
         return word * 64 + at
 
+    def access(self, i: np.ndarray) -> np.ndarray:
+        """The i-th value."""
+        return ((self.select(i, 1) - i) << self.bits) | self.low_at(i).astype(np.int64)
+
     def low_at(self, i: np.ndarray) -> np.ndarray:
         if not self.bits:
             return np.zeros(len(i), np.uint64)
@@ -107,8 +115,8 @@ class EliasFano:
         x = x.astype(np.uint64)
         h = (x >> np.uint64(self.bits)).astype(np.int64)
         want = x & np.uint64((1 << self.bits) - 1)
-        a = np.where(h > 0, self.select_zero(np.maximum(h - 1, 0)) - h + 1, 0)
-        b = self.select_zero(h) - h
+        a = np.where(h > 0, self.select(np.maximum(h - 1, 0), 0) - h + 1, 0)
+        b = self.select(h, 0) - h
         lo, hi = a.copy(), b.copy()
         while (live := np.flatnonzero(lo < hi)).size:
             mid = (lo[live] + hi[live]) // 2
@@ -123,13 +131,16 @@ class EliasFano:
 class Trie:
     """Contexts and their successors, in one memory-mapped file that is gone when the trie is."""
 
-    def __init__(self, context: np.ndarray, rank: np.ndarray, count: np.ndarray, n_contexts: int, n_words: int, p: LmParams):
+    def __init__(self, context: np.ndarray, rank: np.ndarray, count: np.ndarray, n_contexts: int, p: LmParams):
         """Of train bigrams (context number, word rank, count), sorted."""
-        self.words = max(1, n_words)
         sums = np.bincount(context, count, n_contexts)
         types = np.bincount(context, minlength=n_contexts)
         pointers, n0, b0 = EliasFano.build(np.concatenate([[0], np.cumsum(types)]), len(context) + 1)
-        level, n1, b1 = EliasFano.build(context * self.words + rank, max(1, n_contexts * self.words))
+        last = np.flatnonzero(np.diff(context, append=-1))  # the greatest rank of each context with successors
+        base = np.zeros(n_contexts, np.int64)
+        base[context[last]] = np.cumsum(rank[last] + 1) - rank[last] - 1
+        level, n1, b1 = EliasFano.build(base[context] + rank, int((rank[last] + 1).sum()) + 1)
+        self.end = int((rank[last] + 1).sum()) + 1
         share = encode(np.maximum(count - p.discount, 1e-12) / sums[context], p)
         backoff = np.where(types > 0, encode(p.discount * types / np.maximum(sums, 1), p), 255).astype(np.uint8)
         arrays = [*pointers, *level, share, backoff]
@@ -147,10 +158,14 @@ class Trie:
     def lookup(self, context: np.ndarray, rank: np.ndarray) -> np.ndarray:
         """Code of each bigram, 0 where it is absent."""
         out = np.zeros(len(context), np.uint8)
-        if self.level.n:
-            for i in range(0, len(context), 1 << 17):
-                at, hit = self.level.successor(context[i:i + (1 << 17)] * self.words + rank[i:i + (1 << 17)])
-                out[i:i + (1 << 17)][hit] = self.share[at[hit]]
+        for i in range(0, len(context) if self.level.n else 0, 1 << 17):
+            c, r = context[i:i + (1 << 17)], rank[i:i + (1 << 17)]
+            a, b = self.pointers.access(c), self.pointers.access(c + 1)
+            base = np.where(a > 0, self.level.access(np.maximum(a - 1, 0)) + 1, 0)
+            want = np.minimum(base + r, self.end - 1)
+            at, hit = self.level.successor(want)
+            hit &= (at >= a) & (at < b) & (want == base + r)
+            out[i:i + (1 << 17)][hit] = self.share[at[hit]]
         return out
 
 
@@ -233,7 +248,7 @@ def answer(p: LmParams):
                 seen = np.bincount(pair, n, len(pairs)).astype(np.int64)
                 context, r = (pairs >> _32).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
                 known = seen > 0
-                trie = Trie(context[known], r[known], seen[known], len(contexts), len(ranks), p)
+                trie = Trie(context[known], r[known], seen[known], len(contexts), p)
                 code = trie.lookup(context, r)[pair]
                 w, g = np.cumsum([0, *[len(x[0]) for x in parts]]), np.cumsum([0, *[len(x[3]) for x in parts]])
                 for k, to in enumerate(block[a:b].tolist()):

@@ -11,8 +11,8 @@ in two rounds: first one link for each member, confirmed; then those members tha
 component meet in their nodes with their full sets, where an inverted index compares them with all others. No pair
 that could join two components is skipped, and no pair but a confirmed link leaves a node.
 
-Rows without doc_id are left out; null, empty and blank texts link with nothing. A doc_id that repeats counts as one
-document (of its smallest text) and returns a row for each of its rows.
+Rows without doc_id are left out; null, empty and blank texts link with nothing. Rows of one doc_id are one document,
+which is linked with whatever one of its texts is linked with; each row is returned, with its own n_shingles.
 """
 from __future__ import annotations
 
@@ -132,7 +132,8 @@ def cross_nodes(node: np.uint64, ids: np.ndarray, sig: np.ndarray, comp: np.ndar
     rest = np.flatnonzero(inverse != count.argmax())
     if len(ids) > p.branch and depth < 6 and len(rest) > p.small:
         out = []
-        for c in (np.arange(4) * 31 + depth * 7) % p.signature:  # the node branches on: each member goes to the child of its token
+        places = B.mix(node + np.arange(64, dtype=np.uint64)) % np.uint64(p.signature)  # by node, so that trees stay independent
+        for c in places[np.sort(np.unique(places, return_index=True)[1])][:4].astype(np.int64):  # each member goes to the child of its token
             order = np.argsort(sig[:, c], kind="stable")
             for a, b in zip((s := B.starts_of(sig[order, c]))[:-1], s[1:]):
                 if b - a > 1:
@@ -249,19 +250,34 @@ def confirm_pairs(p: NearParams):
 
 def near_duplicates(docs: DataFrame, p: NearParams = NearParams()) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs (doc_id, text)."""
-    spark, n = docs.sparkSession, B.parts(docs.sparkSession)
     d = B.documents(docs)
+    if not _repeats(d):
+        return _near_duplicates(d, p)
+    rows = B.cut(d.distinct().withColumn("row", F.monotonically_increasing_id()))
+    found = _near_duplicates(rows.select(F.col("row").alias("doc_id"), "text"), p).select(F.col("doc_id").alias("row"), "n_shingles", F.col("component_id").alias("part"))
+    found = B.cut(found.join(rows.select("row", "doc_id"), "row"))
+    first = found.groupBy("doc_id").agg(F.min("part").alias("to"))  # all rows of a document are in one component
+    joined = B.components(found.join(first, "doc_id").select(F.col("part").alias("a"), F.col("to").alias("b")))
+    found = found.join(joined.select(F.col("v").alias("part"), "component"), "part", "left").withColumn("whole", F.coalesce("component", "part"))
+    least = found.groupBy("whole").agg(F.min("doc_id").alias("component_id"))
+    named = found.join(least, "whole").select("row", "n_shingles", "component_id")
+    one = rows.join(named, "row").select(F.col("doc_id").alias("id"), F.col("text").alias("own"), "n_shingles", "component_id")
+    out = d.join(one, (d["doc_id"] == one["id"]) & d["text"].eqNullSafe(one["own"])).select("doc_id", "n_shingles", "component_id")
+    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+def _near_duplicates(d: DataFrame, p: NearParams) -> DataFrame:
+    """Of documents with an id each."""
+    n = B.parts(d.sparkSession)
     facts = B.cut(B.map_batches(d, describe(p), "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, nodes binary, sig binary"))
     classes = facts.where("n_shingles > 0").groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("cid"))
-    heads = facts.join(classes.select("cid").distinct(), F.col("doc_id") == F.col("cid"), "left_semi").groupBy(F.col("doc_id").alias("cid")).agg(F.min("nodes").alias("nodes"), F.min("sig").alias("sig"))
+    heads = facts.join(classes.select("cid"), F.col("doc_id") == F.col("cid"), "left_semi").select(F.col("doc_id").alias("cid"), "nodes", "sig")
     records = B.map_batches(heads.select("cid", "nodes"), explode_nodes, "node bigint, cid bigint")
     shared = records.groupBy("node").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("node")
     members = B.cut(records.join(shared, "node").join(heads.select("cid", "sig"), "cid").select("node", "cid", "sig"))
 
-    texts = d.groupBy("doc_id").agg(F.min("text").alias("text")) if _repeats(d) else d
-
     def confirmed(pairs: DataFrame) -> DataFrame:
-        side = lambda k: texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"t{k}"))
+        side = lambda k: d.select(F.col("doc_id").alias(k), F.col("text").alias(f"t{k}"))
         whole = pairs.join(side("a"), "a").join(side("b"), "b")
         return B.cut(B.map_batches(whole, confirm_pairs(p), "a bigint, b bigint"))
 
@@ -270,7 +286,7 @@ def near_duplicates(docs: DataFrame, p: NearParams = NearParams()) -> DataFrame:
     comp = B.components(one)
     labelled = members.join(comp.select(F.col("v").alias("cid"), "component"), "cid", "left").select("node", "cid", "sig", F.coalesce("component", "cid").alias("comp"))
     rest = B.map_batches(grouped(labelled), rest_in_nodes(p), "node bigint, cid bigint, comp bigint").distinct()
-    whole = rest.join(texts.select(F.col("doc_id").alias("cid"), "text"), "cid")
+    whole = rest.join(d.select(F.col("doc_id").alias("cid"), "text"), "cid")
     two = B.cut(B.map_batches(grouped(whole), compare_nodes(p), "a bigint, b bigint"))
     comp = B.components(one.unionAll(two)).select(F.col("v").alias("cid"), "component")
     named = classes.join(comp, "cid", "left").select("f1", "f2", "n_shingles", F.coalesce("component", "cid").alias("class_id"))
@@ -284,7 +300,33 @@ def _repeats(d: DataFrame) -> bool:
     return row.n != row.m
 
 
-def keep_one(docs: DataFrame, p: NearParams = NearParams()) -> DataFrame:
-    """docs without all but one document of each group; every column stays."""
-    kept = near_duplicates(docs, p).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
+def keep_one(docs: DataFrame, p: NearParams = NearParams(), before: DataFrame | None = None) -> DataFrame:
+    """docs without all but one document of each group, that of the smallest doc_id; every column stays.
+
+    before (doc_id, text) has the texts from before lines were taken out of some. Near copies whose shared lines are gone
+    no longer look alike, so documents are linked by those texts as well, if they hold every line of the text of today.
+    """
+    links = near_duplicates(docs, p).select("doc_id", "component_id")
+    if before is not None:
+        now = B.documents(docs).select(F.col("doc_id").alias("id"), F.col("text").alias("now"))
+        then = B.documents(before).join(now, F.col("doc_id") == F.col("id"))
+        then = then.where(F.size(F.array_except(F.split("now", "\n", -1), F.split("text", "\n", -1))) == 0).select("doc_id", "text")
+        both = B.cut(links.unionAll(near_duplicates(B.cut(then), p).select("doc_id", "component_id")))
+        joined = B.components(both.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")))
+        links = links.select("doc_id").join(joined.select(F.col("v").alias("doc_id"), F.col("component").alias("component_id")), "doc_id", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
+    kept = links.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
     return docs.join(kept, docs["doc_id"] == kept["__kept"], "left_semi")
+
+
+#: op9 over the table documents, for DuckDB.
+ORACLE = r"""WITH RECURSIVE
+  d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+  s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), i -> array_to_string(w[i:i + 3], ' '))) END AS sh FROM d),
+  x AS (SELECT doc_id, unnest(sh) AS g FROM s),
+  pairs AS (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS n FROM x p JOIN x q ON p.g = q.g AND p.doc_id < q.doc_id GROUP BY 1, 2),
+  links AS (SELECT a, b FROM pairs JOIN s p ON p.doc_id = a JOIN s q ON q.doc_id = b WHERE 100 * n >= 80 * (len(p.sh) + len(q.sh) - n)),
+  both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+  reach(v, c) AS (SELECT doc_id, doc_id FROM s UNION SELECT l.b, r.c FROM reach r JOIN both_ways l ON l.a = r.v),
+  named AS (SELECT v, min(c) AS component_id FROM reach GROUP BY v)
+  SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN named ON v = doc_id"""

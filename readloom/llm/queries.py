@@ -57,4 +57,4 @@ def op10_lm_score(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {n: f for n, f in list(globals().items()) if n.startswith("op")} | {"pipeline": corpus_pipeline.run}
-ORACLES: dict[str, str] = {"op4_chat": chat.ORACLE}
+ORACLES: dict[str, str] = {"op4_chat": chat.ORACLE, "op8_suffix_dedup": suffix.ORACLE, "op9_near_dedup": near.ORACLE}

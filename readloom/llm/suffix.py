@@ -13,8 +13,9 @@ of documents are marked before they are sent, which keeps very common passages s
 
 Blocks are the documents of one hash partition; their number is the session's shuffle partitions.
 
-Rows without doc_id are left out; null text is empty; a text shorter than `length` keeps all its bytes; equal rows
-(same doc_id and text) are not repeats of each other, as neither starts earlier.
+Rows without doc_id are left out; null text is empty; a text shorter than `length` keeps all its bytes. Rows of one doc_id
+are one document: a byte goes if its string starts in a smaller doc_id or earlier in any row of its own, so equal rows are
+no repeats of each other, as neither starts earlier.
 """
 from __future__ import annotations
 
@@ -136,6 +137,18 @@ def _by_bucket(bucket: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
             yield k, order[edges[k]:edges[k + 1]]
 
 
+def text_numbers(ids: np.ndarray, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Which of the different texts of its doc_id a row has; 0 unless rows share a doc_id."""
+    out = np.zeros(len(ids), np.uint16)
+    order = np.argsort(ids, kind="stable")
+    at = B.starts_of(ids[order])
+    for a, b in zip(*(x[np.diff(at) > 1].tolist() for x in (at[:-1], at[1:]))):
+        texts = [raw[off[k]:off[k + 1]].tobytes() for k in order[a:b]]
+        number = {t: i for i, t in enumerate(sorted(set(texts)))}
+        out[order[a:b]] = [number[t] for t in texts]
+    return out
+
+
 def send_anchors(length: int, buckets: int):
     """Documents by block -> anchors by bucket."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +159,8 @@ def send_anchors(length: int, buckets: int):
                 docs = B.long_array(table["doc_id"])[a:b]
                 raw, off = B.text_bytes(table["text"].slice(a, b - a))
                 row, place, h, lo, hi = anchors(raw, off, length)
-                rows = [(k, int(block[a]), pack(h[i], docs[row[i]], place[i].astype(np.uint32), lo[i], hi[i])) for k, i in _by_bucket((h % np.uint64(buckets)).astype(np.int64), buckets)]
+                nth = text_numbers(docs, raw, off)
+                rows = [(k, int(block[a]), pack(h[i], docs[row[i]], nth[row[i]], place[i].astype(np.uint32), lo[i], hi[i])) for k, i in _by_bucket((h % np.uint64(buckets)).astype(np.int64), buckets)]
                 if rows:
                     yield message(rows)
     return run
@@ -177,36 +191,40 @@ def send_contexts(length: int, buckets: int):
         got = gather(found["blob"].to_pylist()) if found.num_rows else None
         if got is None or not docs.num_rows:
             return pa.Table.from_batches([message([])])
-        h, doc, place, lo, hi = got
+        h, doc, nth, place, lo, hi = got
         block = docs["block"][0].as_py()
         ids = B.long_array(docs["doc_id"])
-        order = np.argsort(ids, kind="stable")
         raw, off = B.text_bytes(docs["text"])
-        back = np.lexsort((place, doc))
-        h, doc, place, lo, hi = (x[back] for x in (h, doc, place.astype(np.int64), lo.astype(np.int64), hi.astype(np.int64)))
-        twice = np.concatenate([[True], (doc[1:] != doc[:-1]) | (place[1:] != place[:-1]) | (lo[1:] != lo[:-1])])
-        h, doc, place, lo, hi = (x[twice] for x in (h, doc, place, lo, hi))  # equal rows are one
-        row = order[np.searchsorted(ids[order], doc)]
+        number = text_numbers(ids, raw, off)
+        order = np.lexsort((number, ids))
+        back = np.lexsort((lo, nth, place, doc))
+        h, doc, nth, place, lo, hi = (x[back] for x in (h, doc, nth, place.astype(np.int64), lo.astype(np.int64), hi.astype(np.int64)))
+        twice = np.concatenate([[True], (doc[1:] != doc[:-1]) | (nth[1:] != nth[:-1]) | (place[1:] != place[:-1]) | (lo[1:] != lo[:-1])])
+        h, doc, nth, place, lo, hi = (x[twice] for x in (h, doc, nth, place, lo, hi))  # equal rows are one
+        row = np.searchsorted(ids[order], doc)
+        several = np.flatnonzero(np.searchsorted(ids[order], doc, "right") - row > 1)
+        for i in several.tolist():  # among the few rows of its doc_id, the one with its text
+            while number[order[row[i]]] != nth[i]:
+                row[i] += 1
+        row = order[row]
         start, size = place - lo, lo - hi + length
         flat = raw.tobytes()
         first, keep, marked = {}, np.ones(len(h), bool), []
         base = off[row] + start
         for i, (x, n, c) in enumerate(zip(base.tolist(), size.tolist(), lo.tolist())):
             key = (c, flat[x:x + n])
-            if key in first:
-                keep[i] = False
-            else:
-                first[key] = i
+            if (j := first.setdefault(key, i)) != i:
+                keep[i] = doc[j] == doc[i] and start[j] == start[i]  # in two texts of a document neither starts earlier
         rows = []
         if not keep.all():
             m = ~keep
-            rows.append((block % buckets, block, b"\x01" + pack(doc[m], start[m], (start + size)[m])))
+            rows.append((block % buckets, block, b"\x01" + pack(doc[m], nth[m], start[m], (start + size)[m])))
         kept = np.flatnonzero(keep)
         for k, some in _by_bucket((h[kept] % np.uint64(buckets)).astype(np.int64), buckets):
             i = kept[some]
             n = size[i]
             text = np.frombuffer(b"".join(flat[x:x + m] for x, m in zip(base[i].tolist(), n.tolist())), np.uint8)
-            rows.append((k, block, b"\x00" + pack(doc[i], start[i], lo[i].astype(np.uint8), (n - length + 1).astype(np.uint8), (B.mix(h[i]) >> np.uint64(48)).astype(np.uint16), text)))
+            rows.append((k, block, b"\x00" + pack(doc[i], nth[i], start[i], lo[i].astype(np.uint8), (n - length + 1).astype(np.uint8), (B.mix(h[i]) >> np.uint64(48)).astype(np.uint16), text)))
         return pa.Table.from_batches([message(rows)])
     return run
 
@@ -226,7 +244,7 @@ _32 = np.uint64(32)
 
 
 def repeated_windows(text: np.ndarray, at: np.ndarray, windows: np.ndarray, c0: np.ndarray, length: int) -> np.ndarray:
-    """Of the windows of one bucket's records, in order: which have an equal one before them.
+    """Of the windows of one bucket's records, in order: the first one that is equal, which may be the window itself.
 
     Record r is text[at[r]:at[r + 1]] and holds windows[r] windows from its start; c0 is the coordinate of its first
     byte, counted so that equal windows have equal coordinates.
@@ -256,11 +274,9 @@ def repeated_windows(text: np.ndarray, at: np.ndarray, windows: np.ndarray, c0:
         same[check[~x]] = False
         check = check[x]
     group = np.concatenate([[0], np.cumsum(~same)])
-    least = np.minimum.reduceat(order, np.flatnonzero(np.concatenate([[True], ~same])))
-    out = np.ones(len(suffix), bool)
-    out[least] = False
-    single = np.bincount(group)
-    return out & (single[group[np.argsort(order)]] > 1) if len(single) else out
+    out = np.empty(len(suffix), np.int64)
+    out[order] = np.minimum.reduceat(order, np.flatnonzero(np.concatenate([[True], ~same])))[group]
+    return out
 
 
 def sort_buckets(length: int):
@@ -289,7 +305,7 @@ BUCKET = 1 << 20
 
 
 def mark_all(parts: list[list[np.ndarray]], origin: np.ndarray, length: int) -> list[tuple[int, int, bytes]]:
-    doc, start, lo, windows, h, text = (np.concatenate(x) for x in zip(*parts))
+    doc, nth, start, lo, windows, h, text = (np.concatenate(x) for x in zip(*parts))
     parts.clear()
     windows = windows.astype(np.int64)
     size = windows + length - 1
@@ -297,28 +313,29 @@ def mark_all(parts: list[list[np.ndarray]], origin: np.ndarray, length: int) ->
     n = max(1, len(text) // BUCKET)
     rows = []  # h is mixed once more: anchors are smallest hashes, so their own high bits are all small
     for _, r in _by_bucket(h.astype(np.int64) * n >> 16, n):
-        rows += mark(doc[r], start[r], lo[r], windows[r], begin[r], text, origin[r], length)
+        rows += mark(doc[r], nth[r], start[r], lo[r], windows[r], begin[r], text, origin[r], length)
     return rows
 
 
-def mark(doc, start, lo, windows, begin, text, origin, length: int) -> list[tuple[int, int, bytes]]:
+def mark(doc, nth, start, lo, windows, begin, text, origin, length: int) -> list[tuple[int, int, bytes]]:
     """Ranges of one suffix bucket's records that are to go, for each block."""
-    order = np.lexsort((start, doc))
+    order = np.lexsort((nth, start, doc))
     size = windows[order] + length - 1
     at = np.concatenate([[0], np.cumsum(size)])
     text = text[np.repeat(begin[order] - at[:-1], size) + np.arange(at[-1])]
-    doc, start, origin, windows = doc[order], start[order], origin[order], windows[order]
-    again = repeated_windows(text, at, windows, 128 - lo[order].astype(np.int64), length)
+    doc, nth, start, origin, windows = doc[order], nth[order], start[order], origin[order], windows[order]
+    earliest = repeated_windows(text, at, windows, 128 - lo[order].astype(np.int64), length)
+    record = np.repeat(np.arange(len(windows)), windows)
+    place = start[record] + np.arange(len(record)) - np.repeat(np.cumsum(windows) - windows, windows)
+    again = (place[earliest] != place) | (doc[record[earliest]] != doc[record])
     if not again.any():
         return []
-    record = np.repeat(np.arange(len(windows)), windows)
     w = np.flatnonzero(again)
-    within = w - np.concatenate([[0], np.cumsum(windows)[:-1]])[record[w]]
     new = np.concatenate([[True], (np.diff(w) != 1) | (record[w[1:]] != record[w[:-1]])])
     first, last = np.flatnonzero(new), np.concatenate([np.flatnonzero(new)[1:] - 1, [len(w) - 1]])
     r = record[w[first]]
-    out, a, b = origin[r], start[r] + within[first], start[r] + within[last] + length
-    return [(0, int(o), pack(doc[r][out == o], a[out == o], b[out == o])) for o in np.unique(out)]
+    out, a, b = origin[r], place[w[first]], place[w[last]] + length
+    return [(0, int(o), pack(doc[r][out == o], nth[r][out == o], a[out == o], b[out == o])) for o in np.unique(out)]
 
 
 def cut_out(docs: pa.Table, marks: pa.Table) -> pa.Table:
@@ -326,16 +343,18 @@ def cut_out(docs: pa.Table, marks: pa.Table) -> pa.Table:
     got = gather(marks["blob"].to_pylist()) if marks.num_rows else None
     ids = B.long_array(docs["doc_id"]) if docs.num_rows else np.zeros(0, np.int64)
     raw, off = B.text_bytes(docs["text"]) if docs.num_rows else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
-    flat, out = raw.tobytes(), []
+    flat, out, number = raw.tobytes(), [], text_numbers(ids, raw, off).tolist()
     if got is not None:
-        doc, a, b = got
+        doc, nth, a, b = got
         order = np.lexsort((a, doc))
-        doc, a, b = doc[order], a[order], b[order]
+        doc, nth, a, b = doc[order], nth[order], a[order], b[order]
     for i, x in enumerate(ids.tolist()):
         text = flat[off[i]:off[i + 1]]
         spans = []
         if got is not None:
-            for s, e in zip(*(y[np.searchsorted(doc, x, "left"):np.searchsorted(doc, x, "right")].tolist() for y in (a, b))):
+            for m, s, e in zip(*(y[np.searchsorted(doc, x, "left"):np.searchsorted(doc, x, "right")].tolist() for y in (nth, a, b))):
+                if m != number[i]:
+                    continue
                 if spans and s <= spans[-1][1]:
                     spans[-1][1] = max(spans[-1][1], e)
                 else:
@@ -360,3 +379,17 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     around = x.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(send_contexts(length, n), MESSAGE)
     marks = by(around).mapInArrow(sort_buckets(length), MESSAGE).drop("bucket")
     return x.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(cut_out, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary, spans array<bigint>")
+
+
+#: op8 over the table documents, for DuckDB: bytes are pairs of hexadecimal digits.
+ORACLE = """WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n_bytes FROM documents),
+  w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 200) AS s FROM (SELECT doc_id, h, unnest(generate_series(0, n_bytes - 100)) AS i FROM b WHERE n_bytes >= 100)),
+  again AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS nth FROM w) WHERE nth > 1),
+  runs AS (SELECT *, sum(CASE WHEN i <= before + 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS run
+    FROM (SELECT *, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM again)),
+  spans AS (SELECT doc_id, min(i) AS s, max(i) + 100 AS e FROM runs GROUP BY doc_id, run),
+  gaps AS (SELECT *, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS f FROM spans),
+  kept AS (SELECT b.doc_id, any_value(n_bytes) AS n_bytes, coalesce(sum(e - s), 0) AS n_removed, count(e) AS n_spans,
+    coalesce(string_agg(substr(h, 2 * f + 1, 2 * (s - f)), '' ORDER BY s), '') || substr(any_value(h), 2 * coalesce(max(e), 0) + 1) AS h
+    FROM b LEFT JOIN gaps ON gaps.doc_id = b.doc_id GROUP BY b.doc_id)
+  SELECT doc_id, n_bytes, CAST(n_removed AS BIGINT) AS n_removed, n_spans, sha256(unhex(h)) AS kept_sha256 FROM kept"""

@@ -32,3 +32,32 @@ def test_dense_group(spark):
     assert rows(near.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), near.NearParams(shingle=4, small=32, branch=128))) == brute.near(docs)
     kept = near.keep_one(spark.createDataFrame(docs, "doc_id long, text string"), near.NearParams(shingle=4))
     assert [r.doc_id for r in kept.collect()] == [0]
+
+
+def plain_rows(docs, k):
+    """Rows of one doc_id are one document."""
+    found = {i: (n, c) for i, n, c, _ in brute.near([(x, t) for x, (_, t) in enumerate(docs)], k)}
+    rows_ = {}
+    for x, (i, _) in enumerate(docs):
+        rows_.setdefault(i, []).append(x)
+    links = [(found[x][1], x) for x in found] + [(r[0], y) for r in rows_.values() for y in r]
+    comp = brute.components(range(len(docs)), links)
+    least = {}
+    for x, (i, _) in enumerate(docs):
+        least[comp[x]] = min(least.get(comp[x], i), i)
+    return sorted((i, found[x][0], least[comp[x]], least[comp[x]] == i) for x, (i, _) in enumerate(docs))
+
+
+def test_rows_of_one_document(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    for docs in ([(1, a), (2, b), (2, a)], [(5, a), (2, b), (2, a), (3, b), (3, c), (7, c), (7, c), (9, None), (9, "z")], [(1, None), (1, ""), (1, a)]):
+        assert rows(near.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), near.NearParams(shingle=4))) == plain_rows(docs, 4)
+
+
+def test_texts_of_before(spark):
+    """Two documents that were near copies before their shared lines went; a text that is not from before is not used."""
+    a, b, c = ("\n".join(" ".join(f"{x}{k}{i}" for i in range(20)) for k in range(9)) for x in "abc")
+    before = spark.createDataFrame([(1, a), (2, a + "\nsome other line here"), (3, b), (4, b)], "doc_id long, text string")
+    now = spark.createDataFrame([(1, a), (2, "some other line here"), (3, b), (4, c), (5, None)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in near.keep_one(now, before=before).collect()) == [1, 3, 4, 5]
+    assert near.keep_one(now).count() == 5

@@ -11,7 +11,7 @@ def brute(docs, length=100):
     for i, t in sorted(set(docs), key=lambda r: r[0]):
         b = (t or "").encode()
         for s in range(len(b) - length + 1):
-            first.setdefault(b[s:s + length], (i, s))
+            first[b[s:s + length]] = min(first.get(b[s:s + length], (i, s)), (i, s))
     for i, t in docs:
         b = (t or "").encode()
         dead = bytearray(len(b))
@@ -44,3 +44,10 @@ def test_edges(spark):
     big = [r for r in rows(suffix.remove_repeats(df)) if r[0] == 13]
     assert big[0][1:4] == (3_000_000, 2_999_999, 1)
     assert rows(suffix.remove_repeats(spark.createDataFrame([], "doc_id long, text string"))) == []
+
+
+def test_rows_of_one_document(spark):
+    rng = random.Random(8)
+    a, b, c = ("".join(rng.choice("abcdefgh ") for _ in range(150)) for _ in range(3))
+    for docs in ([(1, a), (2, b), (2, a)], [(2, a), (2, b + a), (2, a)], [(2, b + a), (2, a + b), (1, c)], [(3, a), (2, c + a), (2, a + c), (2, c + a), (3, a + b)]):
+        assert rows(suffix.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string"))) == brute(docs)

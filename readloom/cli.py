@@ -4,6 +4,8 @@ from __future__ import annotations
 import argparse
 import sys
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from readloom.operators import collapse as C, index as I, partition as P, search as S
@@ -17,7 +19,7 @@ def _session() -> SparkSession:
 
 def _reads(spark: SparkSession, a: argparse.Namespace, offset: int = 0) -> tuple[DataFrame, str]:
     kind = "fasta" if a.fasta else "fastq"
-    return fastx.read_fastx(spark, a.fasta or a.fastq, kind, offset), kind
+    return fastx.probe(fastx.read_fastx(spark, a.fasta or a.fastq, kind, offset)), kind
 
 
 def _ids(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -29,7 +31,7 @@ def _references(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     if not getattr(a, "mapping", None):
         return fastx.references_by_header(fasta)
     mapped = P.apply_mapping(fasta, results.read_mapping(spark, a.mapping), a.skip_missing)
-    return mapped.select("tax_id", "gi", F.xxhash64("header", "seq").alias("ord"), "seq")
+    return mapped.select("tax_id", "gi", "ord", "seq")
 
 
 def chunk(a: argparse.Namespace) -> None:
@@ -40,7 +42,7 @@ def chunk(a: argparse.Namespace) -> None:
 def build(a: argparse.Namespace) -> None:
     refs = _references(_session(), a)
     chunked = I.assign_chunks(refs, I.chunk_limit(a.gb)) if a.gb else I.single_chunk(refs)
-    I.write_index(I.bins(chunked), a.index)
+    I.write_index(I.bins(chunked), a.index, a.seed_size)
 
 
 def classify(a: argparse.Namespace) -> None:
@@ -51,7 +53,7 @@ def classify(a: argparse.Namespace) -> None:
         done = P.resume_offset(reads, _ids(spark, [a.results])).head()[0]
         offset = P.combine_offsets(done, offset, a.resume)
     p = S.SearchParams(a.edit_rate, a.seed_size, a.seed_interval, a.min_seed, a.max_hits, a.tune_max_hits, a.max_assignments, a.max_candidates)
-    hits = S.search(P.skip_reads(reads, offset), spark.read.parquet(a.index), p)
+    hits = S.search(P.skip_reads(reads, offset), I.read_index(spark, a.index), p)
     line = sinks.long_line if a.output_format == "long" else sinks.default_line
     sinks.write_lines(line(["read_ord", "chunk_id"], hits), a.results, append=exists)
 
@@ -83,7 +85,7 @@ def partition(a: argparse.Namespace) -> None:
 
 
 def reference(a: argparse.Namespace) -> None:
-    found = P.extract_references(_session().read.parquet(a.index), P.valid_taxids(a.taxid))
+    found = P.extract_references(I.read_index(_session(), a.index).bins, P.valid_taxids(a.taxid))
     name = F.concat_ws("-", F.col("n").cast("string"), F.col("tax_id").cast("string"))
     found.orderBy("arg_ord", "n").select(sinks.fasta_record(name, F.col("seq")).alias("line")).write.mode("overwrite").text(a.results)
 
@@ -117,6 +119,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--mapping")
     p.add_argument("--skip-missing", action="store_true")
     p.add_argument("--gb", type=float, help="also split into chunks of this size")
+    p.add_argument("--seed-size", type=int, default=18, help="size of the stored seeds; a search with another takes the texts apart again")
     p.add_argument("--sa-sample", type=int, default=32, help="accepted, no effect")
     p.add_argument("--sample-interval", type=int, default=64, help="accepted, no effect")
     p = command("classify", classify, 2)
@@ -154,8 +157,8 @@ def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     try:
         a.run(a)
-    except (ReadloomError, OSError) as e:
-        print(e, file=sys.stderr)
+    except (ReadloomError, OSError, PySparkException, Py4JError) as e:
+        print(str(e).split("\n\nJVM stacktrace", 1)[0], file=sys.stderr)
         return a.code
     return 0
 

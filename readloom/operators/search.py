@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from readloom.functions.kernels import infix_edit_distance
 from readloom.functions.sequence import edit_budget, mask_n, min_seeds, normalize, reverse_complement, seeds, window_bounds
-from readloom.operators.index import seed_counts, seed_positions
+from readloom.operators.index import Index, TEXT, seed_counts, seed_positions, stable, text_blocks
 from readloom.schema import InvalidParameter
 
 KEY = ["read_ord", "strand", "chunk_id"]
@@ -95,37 +95,67 @@ def rank_candidates(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("rank", F.row_number().over(w))
 
 
-def seed_hits(reads: DataFrame, binned: DataFrame, p: SearchParams) -> DataFrame:
+def found_seeds(wanted: DataFrame, index: Index, p: SearchParams) -> tuple[DataFrame, DataFrame]:
+    """Places (chunk_id, kmer, site, bin_id) of the wanted seeds, and their occurrences (chunk_id, kmer, n_hits) if 1..max_hits.
+
+    Stored seeds are read; without them the texts are taken apart once, and what no read has is dropped before any other step.
+    """
+    kmers = wanted.select("kmer").distinct()
+    if index.seeds is not None and index.seed_size == p.seed_size:
+        found = index.seeds.where(F.col("n_hits") <= p.max_hits).join(kmers, "kmer", "left_semi")
+        return found.drop("n_hits"), found.select("chunk_id", "kmer", "n_hits").distinct()
+    found = stable(seed_positions(index.bins, p.seed_size).join(kmers, "kmer", "left_semi"))
+    return found, seed_counts(found).where(F.col("n_hits") <= p.max_hits)
+
+
+def as_index(index: Index | DataFrame) -> Index:
+    return index if isinstance(index, Index) else Index(index)
+
+
+def seed_hits(reads: DataFrame, index: Index | DataFrame, p: SearchParams) -> DataFrame:
     """(KEY, q_off, kmer, n_hits) for seeds with 1..max_hits occurrences."""
     wanted = read_seeds(strands(reads, p), p)
-    positions = seed_positions(binned, p.seed_size).join(wanted.select("kmer").distinct(), "kmer", "left_semi")
-    return wanted.join(seed_counts(positions).where(F.col("n_hits") <= p.max_hits), "kmer")
+    return wanted.join(found_seeds(wanted, as_index(index), p)[1], "kmer")
 
 
-def candidates(reads: DataFrame, binned: DataFrame, p: SearchParams) -> DataFrame:
-    """Ranked candidates of every read; reference seeds that no read has are dropped before any other step."""
+def candidates(reads: DataFrame, index: Index | DataFrame, p: SearchParams) -> DataFrame:
+    """Ranked candidates of every read."""
+    index = as_index(index)
     stranded = strands(reads, p)
     wanted = read_seeds(stranded, p)
-    positions = seed_positions(binned, p.seed_size).join(wanted.select("kmer").distinct(), "kmer", "left_semi")
-    counted = wanted.join(seed_counts(positions).where(F.col("n_hits") <= p.max_hits), "kmer")
+    positions, counts = found_seeds(wanted, index, p)
+    counted = wanted.join(counts, "kmer")
     kept = tuned_seeds(counted, p).select(*KEY, "min_seeds", F.explode("kept").alias("q_off"))
     used = kept.join(counted.select(*KEY, "q_off", "kmer"), [*KEY, "q_off"])
     sites = used.join(positions, ["chunk_id", "kmer"]).join(stranded.select("read_ord", "strand", "len", "budget"), ["read_ord", "strand"])
-    sites = sites.join(binned.select("chunk_id", "bin_id", "start", "end"), ["chunk_id", "bin_id"])
+    sites = sites.join(index.bins.select("chunk_id", "bin_id", "start", "end"), ["chunk_id", "bin_id"])
     bounds = window_bounds(F.col("site"), F.col("q_off"), F.col("len"), F.col("budget"), F.col("start"), F.col("end"))
     hits = sites.withColumn("w", bounds).select(*KEY, "bin_id", "site", "q_off", "min_seeds", F.col("w.s").alias("s"), F.col("w.e").alias("e"))
     return rank_candidates(coalesce_hits(hits))
 
 
-def verify(ranked: DataFrame, stranded: DataFrame, binned: DataFrame, p: SearchParams) -> DataFrame:
+def windows(t: DataFrame, index: Index) -> DataFrame:
+    """t (KEY, rank, bin_id, chunk_id, w_start, w_len) with window, cut from those blocks of the text that it touches."""
+    blocks = index.blocks if index.blocks is not None else text_blocks(index.bins)
+    size = TEXT[-1]
+    touched = F.sequence(F.floor(F.col("w_start") / size), F.floor((F.col("w_start") + F.col("w_len") - 1) / size))
+    parts = t.select(*KEY, "rank", "bin_id", "w_start", "w_len", F.explode(touched).alias("block")).join(blocks, ["chunk_id", "bin_id", "block"])
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "piece"))), lambda x: x["piece"]), "")
+    joined = parts.groupBy(*KEY, "rank").agg(whole.alias("whole"), F.min("block").alias("first"), F.first("w_start").alias("w_start"), F.first("w_len").alias("w_len"))
+    cut = F.substr("whole", (F.col("w_start") - F.col("first") * size + 1).cast("int"), F.col("w_len").cast("int"))
+    return t.join(joined.select(*KEY, "rank", cut.alias("window")), [*KEY, "rank"])
+
+
+def verify(ranked: DataFrame, stranded: DataFrame, index: Index | DataFrame, p: SearchParams) -> DataFrame:
     """Hits (KEY, read_id, tax_id, gi, offset, edit, rank): the first candidate of each taxon within the budget, by rank."""
+    index = as_index(index)
     if p.max_candidates is not None:
         ranked = ranked.where(F.col("rank") <= p.max_candidates)
-    t = ranked.join(stranded, ["read_ord", "strand"]).join(binned.select("chunk_id", "bin_id", "tax_id", "gi", "start", F.col("seq").alias("text")), ["chunk_id", "bin_id"])
+    t = ranked.join(stranded, ["read_ord", "strand"]).join(index.bins.select("chunk_id", "bin_id", "tax_id", "gi", "start"), ["chunk_id", "bin_id"])
     if p.compat:
         t = t.where(2 * F.col("budget") <= F.col("len"))
-    window = F.substr("text", (F.col("c_start") - F.col("start") + 1).cast("int"), (F.col("c_end") - F.col("c_start")).cast("int"))
-    t = t.select(*KEY, "read_id", "tax_id", "gi", (F.col("c_start") - F.col("start")).alias("offset"), "rank", "budget", infix_edit_distance(mask_n(F.col("seq")), window).cast("bigint").alias("edit"))
+    t = t.withColumns({"w_start": F.col("c_start") - F.col("start"), "w_len": F.col("c_end") - F.col("c_start")})
+    t = windows(t, index).select(*KEY, "read_id", "tax_id", "gi", F.col("w_start").alias("offset"), "rank", "budget", infix_edit_distance(mask_n(F.col("seq")), F.col("window")).cast("bigint").alias("edit"))
     t = t.where(F.col("edit") <= F.col("budget"))
     first = F.row_number().over(W.partitionBy(*KEY, "tax_id").orderBy("rank"))
     t = t.withColumn("nth", first).where(F.col("nth") == 1)
@@ -135,9 +165,11 @@ def verify(ranked: DataFrame, stranded: DataFrame, binned: DataFrame, p: SearchP
     return t.drop("nth", "budget")
 
 
-def search(reads: DataFrame, binned: DataFrame, p: SearchParams = SearchParams()) -> DataFrame:
-    """All hits (read_ord, strand, chunk_id, read_id, tax_id, gi, offset, edit, rank); reads shorter than a seed have none."""
-    return verify(candidates(reads, binned, p), strands(reads, p), binned, p)
+def search(reads: DataFrame, index: Index | DataFrame, p: SearchParams = SearchParams()) -> DataFrame:
+    """All hits (read_ord, strand, chunk_id, read_id, tax_id, gi, offset, edit, rank); reads shorter than a seed have none.
+
+    index is a stored one, or bins alone."""
+    return verify(stable(candidates(reads, index, p)), strands(reads, p), index, p)
 
 
 def best_by_taxon(hits: DataFrame) -> DataFrame:

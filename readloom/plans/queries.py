@@ -13,7 +13,9 @@ from readloom.sources import results as R, sinks
 
 LETTERS, BASES = "abcdefghijklmnopqrstuvwxyz", "acgtacgtacgtacgtacgtacgtac"
 #: The search is one of prose here: letters map to four bases only where a nucleotide function is shown.
-PROSE = S.SearchParams(edit_rate=0.05, max_hits=400, tune_max_hits=20, nucleotides=False)
+PROSE = S.SearchParams(nucleotides=False)
+#: Limits that bind on these tables, for the query that shows the tuning.
+TIGHT = S.SearchParams(edit_rate=0.05, max_hits=400, tune_max_hits=20, nucleotides=False)
 CHUNK_BYTES = 200_000
 
 
@@ -116,7 +118,7 @@ def q_seed_hits(spark, sf):
 
 
 def q_seed_tuning(spark, sf):
-    t = S.tuned_seeds(S.seed_hits(reads(spark, sf), binned(spark, sf), PROSE), PROSE)
+    t = S.tuned_seeds(S.seed_hits(reads(spark, sf), binned(spark, sf), TIGHT), TIGHT)
     return t.select("read_ord", "chunk_id", F.array_join(F.transform("kept", lambda x: x.cast("string")), ",").alias("kept"), "n_seeds", "min_seeds")
 
 
@@ -133,7 +135,7 @@ def q_classify_long(spark, sf):
 
 
 def q_classify_strands(spark, sf):
-    p = S.SearchParams(max_assignments=3, max_candidates=20)
+    p = S.SearchParams()
     r = reads(spark, sf).withColumn("seq", pseudo(F.col("seq")))
     return S.best_by_place(S.search(r, I.bins(I.single_chunk(references(spark, sf).withColumn("seq", pseudo(F.col("seq"))))), p))
 
@@ -171,12 +173,6 @@ def q_parse_findings(spark, sf):
 
 
 def q_parse_edit_findings(spark, sf):
-    t = R.parse_edit_findings(sinks.default_line(["file_id"], line_hits(spark, sf)).where("file_id = 0").select("line"))
-    return t.select("read_id", F.explode("hits").alias("h")).select("read_id", "h.*")
-
-
-def q_parse_edit_findings_all(spark, sf):
-    """The lines of all files, where parse_edit_findings has those of file 0."""
     t = R.parse_edit_findings(sinks.default_line(["file_id"], line_hits(spark, sf)).select("file_id", "line"))
     return t.select("file_id", "read_id", F.explode("hits").alias("h")).select("file_id", "read_id", "h.*")
 
@@ -242,24 +238,67 @@ _READS = "reads AS (SELECT item_id AS read_ord, coalesce(text, '') AS seq FROM b
 _BINS = _REFS + """, bins AS (SELECT *, tax_id % 4 AS chunk_id, row_number() OVER w - 1 AS bin_id,
   CAST(coalesce(sum(length(seq)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS b_start
   FROM refs WINDOW w AS (PARTITION BY tax_id % 4 ORDER BY tax_id, ord, gi))"""
-_SEEDS = _READS + f""", seeds AS (SELECT read_ord, length(seq) AS len, q_off, substr(seq, CAST(q_off + 1 AS BIGINT), {PROSE.seed_size}) AS kmer
-  FROM reads, unnest(generate_series(0, length(seq) - {PROSE.seed_size}, {PROSE.seed_interval})) AS t(q_off) WHERE length(seq) >= {PROSE.seed_size})"""
-_POSITIONS = _BINS + ", " + _SEEDS + f""", whole AS (SELECT chunk_id, string_agg(seq, '' ORDER BY b_start, bin_id) AS txt FROM bins GROUP BY 1),
-  ext AS (SELECT b.chunk_id, bin_id, b_start, seq, substr(txt, b_start + 1, length(seq) + {PROSE.seed_size - 1}) AS x FROM bins b JOIN whole USING (chunk_id) WHERE length(seq) > 0),
-  pos AS (SELECT chunk_id, bin_id, b_start + i AS site, substr(x, CAST(i + 1 AS BIGINT), {PROSE.seed_size}) AS kmer
-  FROM ext, unnest(generate_series(0, least(length(seq) - 1, length(x) - {PROSE.seed_size}))) AS t(i) WHERE length(x) >= {PROSE.seed_size}),
+def _seeds(p: S.SearchParams) -> str:
+    return _READS + f""", seeds AS (SELECT read_ord, length(seq) AS len, q_off, substr(seq, CAST(q_off + 1 AS BIGINT), {p.seed_size}) AS kmer
+  FROM reads, unnest(generate_series(0, length(seq) - {p.seed_size}, {p.seed_interval})) AS t(q_off) WHERE length(seq) >= {p.seed_size})"""
+
+
+def _positions(p: S.SearchParams) -> str:
+    return _BINS + ", " + _seeds(p) + f""", whole AS (SELECT chunk_id, string_agg(seq, '' ORDER BY b_start, bin_id) AS txt FROM bins GROUP BY 1),
+  ext AS (SELECT b.chunk_id, bin_id, b_start, seq, substr(txt, b_start + 1, length(seq) + {p.seed_size - 1}) AS x FROM bins b JOIN whole USING (chunk_id) WHERE length(seq) > 0),
+  pos AS (SELECT chunk_id, bin_id, b_start + i AS site, substr(x, CAST(i + 1 AS BIGINT), {p.seed_size}) AS kmer
+  FROM ext, unnest(generate_series(0, least(length(seq) - 1, length(x) - {p.seed_size}))) AS t(i) WHERE length(x) >= {p.seed_size}),
   found AS (SELECT * FROM pos WHERE kmer IN (SELECT kmer FROM seeds)),
   kc AS (SELECT chunk_id, kmer, count(*) AS n_hits FROM found GROUP BY 1, 2),
-  sh AS (SELECT read_ord, chunk_id, q_off, kmer, n_hits FROM seeds JOIN kc USING (kmer) WHERE n_hits <= {PROSE.max_hits})"""
-_TUNED = "WITH RECURSIVE " + _POSITIONS + f""", numbered AS (SELECT *, row_number() OVER (PARTITION BY read_ord, chunk_id ORDER BY q_off) AS i FROM sh),
-  fold AS (SELECT read_ord, chunk_id, i, q_off, true AS used, CASE WHEN n_hits > {PROSE.tune_max_hits} THEN {2 * PROSE.seed_interval} ELSE {PROSE.seed_interval} END AS step,
-    CASE WHEN n_hits > {PROSE.tune_max_hits} THEN q_off + {2 * PROSE.seed_interval} ELSE 0 END AS nxt FROM numbered WHERE i = 1
+  sh AS (SELECT read_ord, chunk_id, q_off, kmer, n_hits FROM seeds JOIN kc USING (kmer) WHERE n_hits <= {p.max_hits})"""
+
+
+def _tuned(p: S.SearchParams) -> str:
+    return "WITH RECURSIVE " + _positions(p) + f""", numbered AS (SELECT *, row_number() OVER (PARTITION BY read_ord, chunk_id ORDER BY q_off) AS i FROM sh),
+  fold AS (SELECT read_ord, chunk_id, i, q_off, true AS used, CASE WHEN n_hits > {p.tune_max_hits} THEN {2 * p.seed_interval} ELSE {p.seed_interval} END AS step,
+    CASE WHEN n_hits > {p.tune_max_hits} THEN q_off + {2 * p.seed_interval} ELSE 0 END AS nxt FROM numbered WHERE i = 1
   UNION ALL SELECT n.read_ord, n.chunk_id, n.i, n.q_off, n.q_off >= f.nxt,
-    CASE WHEN n.q_off >= f.nxt AND n.n_hits > {PROSE.tune_max_hits} THEN f.step * 2 ELSE f.step END,
-    CASE WHEN n.q_off >= f.nxt AND n.n_hits > {PROSE.tune_max_hits} THEN n.q_off + f.step * 2 ELSE f.nxt END
+    CASE WHEN n.q_off >= f.nxt AND n.n_hits > {p.tune_max_hits} THEN f.step * 2 ELSE f.step END,
+    CASE WHEN n.q_off >= f.nxt AND n.n_hits > {p.tune_max_hits} THEN n.q_off + f.step * 2 ELSE f.nxt END
   FROM fold f JOIN numbered n ON n.read_ord = f.read_ord AND n.chunk_id = f.chunk_id AND n.i = f.i + 1),
   tuned AS (SELECT read_ord, chunk_id, string_agg(CAST(q_off AS VARCHAR), ',' ORDER BY q_off) AS kept, count(*) AS n_seeds,
-    CAST(greatest(1, floor(CAST(count(*) AS DOUBLE) * {PROSE.min_seed}::DOUBLE)) AS BIGINT) AS min_seeds FROM fold WHERE used GROUP BY 1, 2)"""
+    CAST(greatest(1, floor(CAST(count(*) AS DOUBLE) * {p.min_seed}::DOUBLE)) AS BIGINT) AS min_seeds FROM fold WHERE used GROUP BY 1, 2)"""
+
+
+def _ranked(p: S.SearchParams) -> str:
+    return _tuned(p) + f""", hits AS (SELECT f.read_ord, f.chunk_id, p.bin_id, p.site, f.q_off, min_seeds,
+    greatest(b.b_start, p.site - f.q_off - budget) AS s, least(b.b_start + length(b.seq), p.site + (len - f.q_off) + budget) AS e, len, budget, b.b_start AS bs, b.b_start + length(b.seq) AS be
+    FROM fold f JOIN tuned USING (read_ord, chunk_id) JOIN sh ON sh.read_ord = f.read_ord AND sh.chunk_id = f.chunk_id AND sh.q_off = f.q_off
+    JOIN found p ON p.chunk_id = sh.chunk_id AND p.kmer = sh.kmer JOIN bins b ON b.chunk_id = p.chunk_id AND b.bin_id = p.bin_id
+    JOIN (SELECT read_ord, length(seq) AS len, CAST(ceil(length(seq) * {p.edit_rate}::DOUBLE) AS BIGINT) AS budget FROM reads) r ON r.read_ord = f.read_ord WHERE f.used),
+  v AS (SELECT * REPLACE (CASE WHEN s < e AND s >= bs AND e <= be AND e - s >= len - budget THEN s END AS s) FROM hits),
+  g AS (SELECT *, sum(CASE WHEN s IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY read_ord, chunk_id ORDER BY site, q_off ROWS UNBOUNDED PRECEDING) AS ng FROM v),
+  k AS (SELECT *, max(e) OVER (PARTITION BY read_ord, chunk_id, bin_id, ng ORDER BY site, q_off ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm FROM g WHERE s IS NOT NULL),
+  i AS (SELECT *, sum(CASE WHEN pm IS NULL OR s >= pm THEN 1 ELSE 0 END) OVER (PARTITION BY read_ord, chunk_id, bin_id, ng ORDER BY site, q_off ROWS UNBOUNDED PRECEDING) AS isl FROM k),
+  c AS (SELECT read_ord, chunk_id, bin_id, ng, isl, min(s) AS c_start, max(e) AS c_end, count(*) AS num_seeds, min(min_seeds) AS ms FROM i GROUP BY 1, 2, 3, 4, 5),
+  ranked AS (SELECT read_ord, chunk_id, bin_id, c_start, c_end, num_seeds, row_number() OVER (PARTITION BY read_ord, chunk_id ORDER BY num_seeds DESC, bin_id, ng, isl) AS cand_rank FROM c WHERE num_seeds >= ms)"""
+
+
+def _distance(p: S.SearchParams) -> str:
+    """Verification of the candidates: a row of the distance table a step, in which min() over a window carries insertions along."""
+    return _ranked(p) + """, x AS (SELECT row_number() OVER (ORDER BY c.read_ord, c.chunk_id, cand_rank) AS id, c.read_ord, 'b:' || c.read_ord AS read_id, c.chunk_id, cand_rank, tax_id, gi,
+    c_start - b_start AS "offset", translate(r.seq, 'N', '.') AS needle, substr(b.seq, c_start - b_start + 1, c_end - c_start) AS hay, CAST(ceil(length(r.seq) * @@RATE@@::DOUBLE) AS BIGINT) AS budget
+    FROM ranked c JOIN bins b USING (chunk_id, bin_id) JOIN reads r ON r.read_ord = c.read_ord),
+  """.replace("@@RATE@@", str(p.edit_rate)) + _INFIX + """, d AS (SELECT x.*, edit FROM x JOIN dist USING (id) WHERE edit <= budget),
+  first_hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY read_ord, chunk_id, tax_id ORDER BY cand_rank) AS nth FROM d) WHERE nth = 1)"""
+
+
+#: Least distance of needle to any part of hay, of x (id, needle, hay).
+_INFIX = """cells AS (SELECT id, 0 AS i, j, CAST(0 AS BIGINT) AS v FROM (SELECT id, unnest(generate_series(0, length(hay))) AS j FROM x)
+  UNION ALL SELECT id, i, j, j + min(v - j) OVER (PARTITION BY id ORDER BY j ROWS UNBOUNDED PRECEDING) FROM (
+    SELECT c.id, c.i + 1 AS i, c.j, least(c.v + 1, lag(c.v) OVER (PARTITION BY c.id ORDER BY c.j) + CASE WHEN substr(needle, CAST(c.i + 1 AS BIGINT), 1) = substr(hay, c.j, 1) THEN 0 ELSE 1 END) AS v
+    FROM cells c JOIN x USING (id) WHERE c.i < length(needle))),
+  dist AS (SELECT c.id, min(v) AS edit FROM cells c JOIN x USING (id) WHERE c.i = length(needle) GROUP BY c.id)"""
+_LOCAL = """grid AS (SELECT id, 0 AS i, j, CAST(0 AS BIGINT) AS v FROM (SELECT id, unnest(generate_series(0, length(hay))) AS j FROM x)
+  UNION ALL SELECT id, i, j, greatest(0, max(v + j) OVER (PARTITION BY id ORDER BY j ROWS UNBOUNDED PRECEDING) - j) FROM (
+    SELECT g.id, g.i + 1 AS i, g.j, greatest(0, g.v - 1, lag(g.v) OVER (PARTITION BY g.id ORDER BY g.j) + CASE WHEN substr(needle, CAST(g.i + 1 AS BIGINT), 1) = substr(hay, g.j, 1) THEN 1 ELSE -1 END) AS v
+    FROM grid g JOIN x USING (id) WHERE g.i < length(needle))),
+  best AS (SELECT id, max(v) AS score FROM grid GROUP BY id)"""
 _LINES = """h AS (SELECT 'r:' || l_orderkey AS read_id, l_suppkey AS tax_id, l_partkey AS gi, CAST(l_linenumber AS BIGINT) AS "offset",
   CAST(l_quantity AS BIGINT) AS edit, l_linenumber % 3 AS file_id FROM lineitem),
   p AS (SELECT file_id, read_id, tax_id, gi, "offset", min(edit) AS edit FROM h GROUP BY ALL)"""
@@ -279,22 +318,15 @@ ORACLES = {
     "revcomp": f"WITH {_REFS} SELECT gi, translate(reverse({_NORM.format(_PSEUDO)}), 'ACGT', 'TGCA') AS seq FROM refs",
     "base_codes": f"WITH {_READS} SELECT read_ord, regexp_replace(translate({_NORM.format('seq')}, 'ACGT', '0123'), '[^0-3]', '4', 'g') AS codes, translate({_NORM.format('seq')}, 'N', '.') AS masked FROM reads",
     "edit_budget": f"WITH {_REFS} SELECT gi, " + ", ".join(f"CAST(ceil(length(seq) * {r}::DOUBLE) AS BIGINT) AS b{i}" for i, r in enumerate((0.07, 0.13, 1.0))) + " FROM refs",
-    "seed_extract": f"WITH {_SEEDS} SELECT read_ord, q_off, kmer FROM seeds",
+    "seed_extract": f"WITH {_seeds(PROSE)} SELECT read_ord, q_off, kmer FROM seeds",
     "bin_offsets": f"WITH {_BINS} SELECT chunk_id, bin_id, tax_id, gi, b_start, b_start + length(seq) AS b_end FROM bins",
-    "kmer_counts": f"WITH {_POSITIONS} SELECT chunk_id, kmer, n_hits FROM kc",
-    "seed_hits": f"WITH {_POSITIONS} SELECT read_ord, chunk_id, q_off, kmer, n_hits FROM sh",
-    "seed_tuning": f"{_TUNED} SELECT read_ord, chunk_id, kept, n_seeds, min_seeds FROM tuned",
-    "rank_candidates": _TUNED + f""", hits AS (SELECT f.read_ord, f.chunk_id, p.bin_id, p.site, f.q_off, min_seeds,
-    greatest(b.b_start, p.site - f.q_off - budget) AS s, least(b.b_start + length(b.seq), p.site + (len - f.q_off) + budget) AS e, len, budget, b.b_start AS bs, b.b_start + length(b.seq) AS be
-    FROM fold f JOIN tuned USING (read_ord, chunk_id) JOIN sh ON sh.read_ord = f.read_ord AND sh.chunk_id = f.chunk_id AND sh.q_off = f.q_off
-    JOIN found p ON p.chunk_id = sh.chunk_id AND p.kmer = sh.kmer JOIN bins b ON b.chunk_id = p.chunk_id AND b.bin_id = p.bin_id
-    JOIN (SELECT read_ord, length(seq) AS len, CAST(ceil(length(seq) * {PROSE.edit_rate}::DOUBLE) AS BIGINT) AS budget FROM reads) r ON r.read_ord = f.read_ord WHERE f.used),
-  v AS (SELECT * REPLACE (CASE WHEN s < e AND s >= bs AND e <= be AND e - s >= len - budget THEN s END AS s) FROM hits),
-  g AS (SELECT *, sum(CASE WHEN s IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY read_ord, chunk_id ORDER BY site, q_off ROWS UNBOUNDED PRECEDING) AS ng FROM v),
-  k AS (SELECT *, max(e) OVER (PARTITION BY read_ord, chunk_id, bin_id, ng ORDER BY site, q_off ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm FROM g WHERE s IS NOT NULL),
-  i AS (SELECT *, sum(CASE WHEN pm IS NULL OR s >= pm THEN 1 ELSE 0 END) OVER (PARTITION BY read_ord, chunk_id, bin_id, ng ORDER BY site, q_off ROWS UNBOUNDED PRECEDING) AS isl FROM k),
-  c AS (SELECT read_ord, chunk_id, bin_id, ng, isl, min(s) AS c_start, max(e) AS c_end, count(*) AS num_seeds, min(min_seeds) AS ms FROM i GROUP BY 1, 2, 3, 4, 5)
-  SELECT read_ord, chunk_id, bin_id, c_start, c_end, num_seeds, row_number() OVER (PARTITION BY read_ord, chunk_id ORDER BY num_seeds DESC, bin_id, ng, isl) AS cand_rank FROM c WHERE num_seeds >= ms""",
+    "kmer_counts": f"WITH {_positions(PROSE)} SELECT chunk_id, kmer, n_hits FROM kc",
+    "seed_hits": f"WITH {_positions(PROSE)} SELECT read_ord, chunk_id, q_off, kmer, n_hits FROM sh",
+    "seed_tuning": f"{_tuned(TIGHT)} SELECT read_ord, chunk_id, kept, n_seeds, min_seeds FROM tuned",
+    "rank_candidates": _ranked(PROSE) + " SELECT * FROM ranked",
+    "classify_best": _distance(PROSE) + " SELECT read_ord, read_id, chunk_id, tax_id, min(edit) AS edit FROM first_hits GROUP BY ALL",
+    "classify_long": _distance(PROSE) + ' SELECT read_ord, read_id, chunk_id, tax_id, gi, "offset", min(edit) AS edit FROM first_hits GROUP BY ALL',
+    "local_score": f"WITH RECURSIVE {_READS}, x AS (SELECT a.read_ord AS id, a.seq AS needle, b.seq AS hay FROM reads a JOIN reads b ON b.read_ord = a.read_ord + 1), {_INFIX}, {_LOCAL} SELECT id AS read_ord, score, edit FROM dist JOIN best USING (id)",
     "chunk_assign": f"""WITH RECURSIVE {_REFS}, n AS (SELECT tax_id, gi, length(seq) + length(gi || '-' || tax_id) + 3 AS bytes, row_number() OVER (ORDER BY tax_id, ord, gi) AS i FROM refs),
   f AS (SELECT i, CAST(0 AS BIGINT) AS chunk_id, CASE WHEN bytes >= {CHUNK_BYTES} THEN 1 ELSE 0 END AS up, CASE WHEN bytes >= {CHUNK_BYTES} THEN 0 ELSE bytes END AS used FROM n WHERE i = 1
   UNION ALL SELECT n.i, f.chunk_id + f.up, CASE WHEN f.used + n.bytes >= {CHUNK_BYTES} THEN 1 ELSE 0 END, CASE WHEN f.used + n.bytes >= {CHUNK_BYTES} THEN 0 ELSE f.used + n.bytes END FROM f JOIN n ON n.i = f.i + 1)
@@ -304,8 +336,7 @@ ORACLES = {
     "format_long": f"WITH {_LINES} SELECT file_id, read_id || ':' || string_agg(tax_id || '-' || gi || '-' || \"offset\" || '=' || edit, ',' ORDER BY tax_id, gi, \"offset\") AS line FROM p GROUP BY file_id, read_id",
     "format_taxa_only": f"WITH {_LINES}, t AS (SELECT DISTINCT read_id, tax_id FROM h) SELECT read_id || ':' || string_agg(CAST(tax_id AS VARCHAR), ',' ORDER BY tax_id) AS line FROM t GROUP BY read_id",
     "parse_findings": f"WITH {_LINES}, t AS (SELECT DISTINCT read_id, tax_id FROM h) SELECT read_id, string_agg(CAST(tax_id AS VARCHAR), ' ' ORDER BY tax_id) AS taxa FROM t GROUP BY read_id",
-    "parse_edit_findings": f"WITH {_LINES} SELECT read_id, tax_id, CAST(0 AS BIGINT) AS gi, CAST(0 AS BIGINT) AS \"offset\", min(edit) AS edit FROM h WHERE file_id = 0 GROUP BY read_id, tax_id",
-    "parse_edit_findings_all": f"WITH {_LINES} SELECT file_id, read_id, tax_id, CAST(0 AS BIGINT) AS gi, CAST(0 AS BIGINT) AS \"offset\", min(edit) AS edit FROM h GROUP BY file_id, read_id, tax_id",
+    "parse_edit_findings": f"WITH {_LINES} SELECT file_id, read_id, tax_id, CAST(0 AS BIGINT) AS gi, CAST(0 AS BIGINT) AS \"offset\", min(edit) AS edit FROM h GROUP BY file_id, read_id, tax_id",
     "collapse_taxid": f"WITH {_LINES} SELECT read_id, tax_id, min(edit) AS edit FROM p GROUP BY 1, 2",
     "collapse_taxid_gi": f"WITH {_LINES}, r AS (SELECT *, row_number() OVER (PARTITION BY read_id, tax_id, gi ORDER BY edit, \"offset\") AS n FROM p) SELECT read_id, tax_id, gi, \"offset\", edit FROM r WHERE n = 1",
     "collapse_union": f"WITH {_LINES}, t AS (SELECT DISTINCT read_id, tax_id FROM h) SELECT read_id, string_agg(CAST(tax_id AS VARCHAR), ' ' ORDER BY tax_id) AS taxa FROM t GROUP BY read_id",

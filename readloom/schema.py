@@ -50,7 +50,7 @@ class InvalidParameter(ReadloomError):
 
 def u32(token: Column) -> Column:
     """The number a token spells, NULL unless it is digits (with an optional plus) within 32 bits."""
-    value = F.when(token.rlike(r"^\+?[0-9]+$"), token.try_cast("decimal(38,0)"))
+    value = F.when(token.rlike(r"^\+?[0-9]+\z"), token.try_cast("decimal(38,0)"))
     return F.when(value <= U32_MAX, value.cast("bigint"))
 
 

@@ -7,7 +7,9 @@ from __future__ import annotations
 
 import gzip
 import io
+import re
 from collections.abc import Iterator
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -71,9 +73,13 @@ def parse_fastq(lines: Iterator[str]) -> Iterator[tuple]:
 PARSERS = {"fasta": parse_fasta, "fastq": parse_fastq}
 
 
+#: Ordinals of a file start at its number times this.
+FILE = 1 << 40
+
+
 class _File(InputPartition):
-    def __init__(self, path: str, base: int):
-        self.path, self.base = path, base
+    def __init__(self, path: str, number: int):
+        self.path, self.first = path, number * FILE
 
 
 class _Reader(DataSourceReader):
@@ -81,12 +87,12 @@ class _Reader(DataSourceReader):
         self.paths, self.parse = options["paths"].split("\n"), PARSERS[options["kind"]]
 
     def partitions(self) -> list[_File]:
-        return [_File(p, 0) for p in self.paths]
+        return [_File(p, i) for i, p in enumerate(self.paths)]
 
     def read(self, part: _File) -> Iterator[tuple]:
         with open_maybe_gzip(part.path) as lines:
             for i, (name, desc, seq, qual) in enumerate(self.parse(lines)):
-                yield i, name, desc, seq, qual, part.path
+                yield part.first + i, name, desc, seq, qual, part.path
 
 
 class FastxSource(DataSource):
@@ -104,9 +110,9 @@ class FastxSource(DataSource):
 
 
 def read_fastx(spark: SparkSession, paths: str | list[str], kind: str, offset: int = 0) -> DataFrame:
-    """Records (read_ord, read_id, desc, seq, qual, path); read_ord counts from 0 in each file, and the first offset are skipped.
+    """Records (read_ord, read_id, desc, seq, qual, path); ordinals below offset are skipped.
 
-    Empty files give no rows; a malformed record ends the query.
+    read_ord counts from 0 in the first file, from FILE in the second and so on: unique, and in the order of the input. Empty files give no rows; a malformed record ends the query.
     """
     kind = kind.lower()
     if kind not in PARSERS:
@@ -116,19 +122,35 @@ def read_fastx(spark: SparkSession, paths: str | list[str], kind: str, offset: i
     return spark.read.format("readloom_fastx").option("kind", kind).option("paths", "\n".join(paths)).load().where(F.col("read_ord") >= offset)
 
 
+def _plain(path: str) -> str:
+    return re.sub("^file:/+", "/", path)
+
+
 def read_reference_fasta(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(header, desc, seq) of FASTA files of any size; files are split between tasks at record starts."""
+    """(header, desc, seq, ord) of FASTA files of any size; files are split between tasks at record starts.
+
+    ord is unique and rises with files by name, the place of the split in its file, and the record in the split.
+    """
     record = F.regexp_replace(F.col("value"), "^>", "")
     line = F.regexp_extract(record, r"^([^\r\n]*)", 1)
     body = F.regexp_replace(F.regexp_replace(record, r"^[^\n]*\n?", ""), r"\s", "")
-    return (spark.read.option("lineSep", "\n>").text(paths).where(F.trim("value") != "")
-            .select(F.regexp_extract(line, r"^(\S*)", 1).alias("header"), F.nullif(F.regexp_extract(line, r"^\S*\s+(.*)$", 1), F.lit("")).alias("desc"), body.alias("seq")))
-
-
-def references_by_header(fasta: DataFrame, order: str = "header") -> DataFrame:
-    """References (tax_id, gi, ord, seq) from records named GI-TAXID; ord ranks equal (tax_id, gi) stably by the order column."""
+    text = spark.read.option("lineSep", "\n>").text(paths)
+    number = {_plain(p): i for i, p in enumerate(sorted(text.inputFiles()))}
+    known = F.create_map(*[F.lit(x) for kv in number.items() for x in kv]) if number else F.lit(None).cast("map<string,int>")
+    name = F.regexp_replace("file", "^file:/+", "/")
+    file = F.coalesce(F.element_at(known, name), F.raise_error(F.concat(F.lit("unlisted input file "), name)).cast("int"))
+    # a split has at most 2^33 records, as partitions do in Spark's own ids
+    place = F.col("begin").cast("decimal(38,0)") * F.lit(1 << 33) + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    ord_ = (file.cast("decimal(7,0)") * F.lit(Decimal(10**30)) + place).cast("decimal(38,0)")
+    found = text.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("begin")).withColumn("ord", ord_)
+    return (found.where(F.trim("value") != "")
+            .select(F.regexp_extract(line, r"^(\S*)", 1).alias("header"), F.nullif(F.regexp_extract(line, r"^\S*\s+(.*)$", 1), F.lit("")).alias("desc"), body.alias("seq"), "ord"))
+
+
+def references_by_header(fasta: DataFrame) -> DataFrame:
+    """References (tax_id, gi, ord, seq) from records named GI-TAXID, in the order of the files."""
     parsed = fasta.withColumn("h", header_parts_or_fail(F.col("header")))
-    return parsed.select("h.tax_id", "h.gi", F.xxhash64(order, "seq").alias("ord"), "seq")
+    return parsed.select("h.tax_id", "h.gi", "ord", "seq")
 
 
 def probe(df: DataFrame) -> DataFrame:

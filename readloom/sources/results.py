@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from readloom.functions.sequence import strip_line_end
-from readloom.schema import InvalidMapping, u32, u32_or_fail
+from readloom.schema import InvalidMapping, U32_MAX, u32, u32_or_fail
 
 #: Fixed pattern of one hit: TAX[-GI[-OFFSET]]=EDIT.
 HIT_PATTERN = r"^(\+?[0-9]+)(?:-(\+?[0-9]+))?(?:-(\+?[0-9]+))?=(\+?[0-9]+)$"
@@ -25,12 +25,24 @@ def split_line(line: Column) -> tuple[Column, Column]:
     return F.when(bad, F.raise_error(F.concat(F.lit("line without a read id: "), line))).otherwise(read_id), hits
 
 
+def hit_parts(token: Column) -> Column:
+    """A token with the numbers in it and whether it is a hit; taken apart once, before its numbers are read."""
+    return F.struct(token.alias("token"), F.regexp_extract_all(token, F.lit("[0-9]+"), F.lit(0)).alias("n"), token.rlike(HIT_PATTERN).alias("ok"))
+
+
+def hit_numbers(parts: Column) -> Column:
+    """struct(tax_id, gi, offset, edit) of hit_parts, gi and offset NULL where absent; a malformed token ends the query."""
+    token, n = parts["token"], parts["n"]
+    number = lambda i: F.get(n, i).try_cast("bigint")
+    last = F.size(n) - 1
+    wide = F.exists(n, lambda x: F.coalesce(x.try_cast("bigint") > U32_MAX, F.lit(True)))
+    hit = F.struct(number(F.lit(0)).alias("tax_id"), F.when(last > 1, number(F.lit(1))).alias("gi"), F.when(last > 2, number(F.lit(2))).alias("offset"), number(last).alias("edit"))
+    return F.when(~parts["ok"], F.raise_error(F.concat(F.lit("invalid hit: "), token))).when(wide, F.raise_error(F.concat(F.lit("invalid number: "), token))).otherwise(hit)
+
+
 def parse_hit(token: Column) -> Column:
-    """One hit as struct(tax_id, gi, offset, edit), gi and offset NULL where absent; a malformed token ends the query."""
-    part = lambda i: F.nullif(F.regexp_extract(token, HIT_PATTERN, i), F.lit(""))
-    number = lambda i: F.when(part(i).isNotNull(), u32_or_fail(part(i), "invalid number"))
-    hit = F.struct(number(1).alias("tax_id"), number(2).alias("gi"), number(3).alias("offset"), number(4).alias("edit"))
-    return F.when(token.rlike(HIT_PATTERN), hit).otherwise(F.raise_error(F.concat(F.lit("invalid hit: "), token)))
+    """One hit as struct(tax_id, gi, offset, edit)."""
+    return hit_numbers(hit_parts(token))
 
 
 def parse_results(lines: DataFrame, mode: str = "failfast") -> DataFrame:
@@ -43,8 +55,8 @@ def parse_results(lines: DataFrame, mode: str = "failfast") -> DataFrame:
     if mode == "permissive":
         tokens = F.filter(tokens, lambda t: t.rlike(HIT_PATTERN))
     keep = [c for c in lines.columns if c not in {"line", "read_id", "tax_id", "gi", "offset", "edit"}]
-    flat = lines.select(*keep, read_id.alias("read_id"), F.explode(tokens).alias("token"))
-    return flat.select(*keep, "read_id", parse_hit(F.col("token")).alias("h")).select(*keep, "read_id", "h.*")
+    flat = lines.select(*keep, read_id.alias("read_id"), F.explode(F.transform(tokens, hit_parts)).alias("parts"))
+    return flat.select(*keep, "read_id", hit_numbers(F.col("parts")).alias("h")).select(*keep, "read_id", "h.*")
 
 
 def parse_findings(lines: DataFrame) -> DataFrame:
@@ -107,4 +119,4 @@ def unique_headers(mapping: DataFrame) -> DataFrame:
     return twice.select(one.alias("header"), "tax_id", "gi")
 
 
-__all__ = ["detect_delimiter", "parse_edit_findings", "parse_findings", "parse_hit", "parse_results", "read_ids", "read_lines", "read_mapping", "split_line", "u32", "unique_headers"]
+__all__ = ["detect_delimiter", "parse_edit_findings", "parse_findings", "hit_numbers", "hit_parts", "parse_hit", "parse_results", "read_ids", "read_lines", "read_mapping", "split_line", "u32", "unique_headers"]

@@ -78,6 +78,9 @@ def write_records(reads: DataFrame, path: str, kind: str) -> None:
 
 
 def write_chunks(chunked: DataFrame, path: str) -> None:
-    """One folder a chunk of records >gi-tax."""
+    """One folder a chunk of records >gi-tax, whose files hold them in (tax_id, ord, gi) order one after the other."""
     name = F.concat_ws("-", F.col("gi").cast("string"), F.col("tax_id").cast("string"))
-    chunked.select("chunk_id", fasta_record(name, F.col("seq")).alias("value")).write.mode("overwrite").partitionBy("chunk_id").text(path)
+    n = int(chunked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["chunk_id", "tax_id", "ord", "gi", "value"]
+    records = chunked.select(*order[:-1], fasta_record(name, F.col("seq")).alias("value"))
+    records.repartitionByRange(n, *order).sortWithinPartitions(*order).select("chunk_id", "value").write.mode("overwrite").partitionBy("chunk_id").text(path)

@@ -38,17 +38,21 @@ def test_kernels_like_plain_versions():
 
 
 def test_headers(spark):
-    good, bad = ["12345-908", "0001-0002"], ["", "-", "1.0-543", "654981-1.071", "1-2-3", "abc-123", "123-abc", "4294967296-1", " 1-2"]
-    df = spark.createDataFrame([(x,) for x in good + bad], "h string").select("h", Q.header_parts(F.col("h")).alias("p"))
-    got = {r.h: r.p for r in df.collect()}
-    assert (got["12345-908"].gi, got["12345-908"].tax_id) == (12345, 908) and got["0001-0002"].gi == 1
-    assert all(got[b] is None for b in bad)
+    good = {"7-31": (7, 31), "+8-9": (8, 9), "000-4294967295": (0, 4294967295)}
+    bad = ["7", "7-", "-31", "7--31", "7_31", "7-31-", "7 -31", "0x7-31", "4294967296-1", "1-99999999999999999999999", " 1-2", "1-2\n"]
+    df = spark.createDataFrame([(x,) for x in [*good, *bad]], "h string").select("h", Q.header_parts(F.col("h")).alias("p"))
+    got = {r.h: r.p and (r.p.gi, r.p.tax_id) for r in df.collect()}
+    assert got == good | dict.fromkeys(bad)
 
 
 def test_window(spark):
-    df = spark.createDataFrame([(110, 1, 50, 3, 100, 200), (180, 25, 50, 3, 100, 200), (90, 1, 50, 3, 100, 200)], "site long, q int, len int, e int, s long, t long")
-    got = [r.w for r in df.select(Q.window_bounds(*map(F.col, ("site", "q", "len", "e", "s", "t"))).alias("w")).collect()]
-    assert (got[0].s, got[0].e) == (106, 162) and got[1] is not None and got[2] is None
+    """Against the rule, for all places of a read of 12 around a bin of 40."""
+    rows_ = [(site, q, 12, e, 1000, 1040) for site in range(985, 1060) for q in (0, 5, 11) for e in (0, 2, 6)]
+    df = spark.createDataFrame(rows_, "site long, q int, len int, e int, s long, t long")
+    for r in df.withColumn("w", Q.window_bounds(*map(F.col, ("site", "q", "len", "e", "s", "t")))).collect():
+        lo, hi = max(r.s, r.site - r.q - r.e), min(r.t, r.site + 12 - r.q + r.e)
+        fits = lo < hi and hi - lo >= 12 - r.e
+        assert (r.w and (r.w.s, r.w.e)) == ((lo, hi) if fits else None)
 
 
 def lines(spark, *x):
@@ -56,10 +60,10 @@ def lines(spark, *x):
 
 
 def test_lines_and_collapse(spark):
-    hits = spark.createDataFrame([("R1:1 0", 5, 12, 1, 9), ("R1:1 0", 2, 10, 3, 4), ("R1:1 0", 2, 11, 8, 6)], "read_id string, tax_id long, gi long, offset long, edit long")
-    assert sinks.default_line([], hits).head().line == "R1:1 0:2=4,5=9"
-    assert sinks.long_line([], hits).head().line == "R1:1 0:2-10-3=4,2-11-8=6,5-12-1=9"
-    assert sinks.taxa_line(hits).head().line == "R1:1 0:2,5"
+    hits = spark.createDataFrame([("q:7 x", 40, 3, 0, 2), ("q:7 x", 9, 71, 15, 3), ("q:7 x", 9, 8, 15, 1), ("q:7 x", 9, 8, 15, 6)], "read_id string, tax_id long, gi long, offset long, edit long")
+    assert sinks.default_line([], hits).head().line == "q:7 x:9=1,40=2"
+    assert sinks.long_line([], hits).head().line == "q:7 x:9-8-15=1,9-71-15=3,40-3-0=2"
+    assert sinks.taxa_line(hits).head().line == "q:7 x:9,40"
     parsed = R.parse_results(lines(spark, "r1:1-5-2=4,2-8-1=7\r", "r1:2-8-1=6", "r2:2-9-1=2", "r3:"))
     assert sorted(r.line for r in sinks.long_line([], C.collapse(parsed, "taxid-gi")).collect()) == ["r1:1-5-2=4,2-8-1=6", "r2:2-9-1=2"]
     assert sorted(r.line for r in sinks.default_line([], C.collapse(parsed)).collect()) == ["r1:1=4,2=6", "r2:2=2"]
@@ -158,11 +162,45 @@ def test_search_like_procedure(spark, limits):
     assert sorted((x.read_ord, x.tax_id, x.gi, x.offset, x.edit) for x in got.collect()) == sorted(want)
 
 
-def test_chunks_partition_resume_reference(spark):
-    refs = spark.createDataFrame([(2, 20, 0, "GG"), (1, 10, 0, "ACGT"), (1, 11, 1, "TTAA")], "tax_id long, gi long, ord long, seq string")
-    got = {r.gi: r.chunk_id for r in I.assign_chunks(refs, 12).collect()}
-    assert got == {10: 0, 11: 0, 20: 1}
-    assert [r.seq for r in P.extract_references(refs, [1, 3]).orderBy("n").collect()] == ["ACGT", "TTAA"]
+def plain_chunks(refs, limit):
+    out, used, chunk = [], 0, 0
+    for r in sorted(refs, key=lambda r: (r[0], r[2], r[1])):
+        out.append((chunk, *r))
+        used += len(r[3]) + len(f"{r[1]}-{r[0]}") + 3
+        if used >= limit:
+            chunk, used = chunk + 1, 0
+    return sorted(out)
+
+
+@pytest.mark.parametrize("limit", [1, 30, 100, 1000, 10**9])
+def test_chunks_and_bins_like_folds(spark, limit):
+    """Repeated records keep their count, and sums run across partitions."""
+    rng = random.Random(limit)
+    refs = [(rng.randrange(5), rng.randrange(40), rng.randrange(8), "ACGT"[rng.randrange(4)] * rng.choice([0, 1, 7, 60])) for _ in range(300)]
+    refs += refs[:40] + refs[:1] * 30
+    schema = "tax_id long, gi long, ord long, seq string"
+    chunked = I.assign_chunks(spark.createDataFrame(refs, schema).repartition(7), limit)
+    got = [tuple(r) for r in chunked.select("chunk_id", "tax_id", "gi", "ord", "seq").collect()]
+    assert sorted(x[1:] for x in got) == sorted(refs)
+    size = lambda c: sum(len(r[4]) + len(f"{r[2]}-{r[1]}") + 3 for r in got if r[0] == c)
+    chunks = sorted({r[0] for r in got})
+    assert chunks == list(range(len(chunks))) and all(size(c) >= limit for c in chunks[:-1])
+    unique = [(t, g, i, s) for i, (t, g, _, s) in enumerate(refs)]
+    df = spark.createDataFrame(unique, schema).repartition(5)
+    assert sorted(tuple(r) for r in I.assign_chunks(df, limit).select("chunk_id", "tax_id", "gi", "ord", "seq").collect()) == plain_chunks(unique, limit)
+    at = {}
+    want = []
+    for c, t, g, o, s in sorted(plain_chunks(unique, limit), key=lambda x: (x[0], x[1], x[3], x[2])):
+        n, place = at.get(c, (0, 0))
+        want.append((c, o, n, place, place + len(s)))
+        at[c] = n + 1, place + len(s)
+    binned = I.bins(I.assign_chunks(df, limit), normalized=False)
+    assert sorted(tuple(r) for r in binned.select("chunk_id", "ord", "bin_id", "start", "end").collect()) == sorted(want)
+
+
+def test_partition_resume_reference(spark):
+    refs = spark.createDataFrame([(8, 55, 0, "GAT"), (3, 70, 0, "C"), (3, 61, 1, "TTGA"), (3, 61, 2, "TTGA")], "tax_id long, gi long, ord long, seq string")
+    assert [r.seq for r in P.extract_references(refs, [3, 5]).orderBy("n").collect()] == ["C", "TTGA", "TTGA"]
     reads = spark.createDataFrame([(i, x) for i, x in enumerate(["a", "b", "a", "c"])], "read_ord long, read_id string")
     ids = R.read_ids(lines(spark, "a:1=2", "z:1=3"))
     assert P.matched(reads, ids).count() == 2 and P.unmatched(reads, ids).count() == 2
@@ -199,11 +237,51 @@ def test_files_and_command_line(spark, tmp_path):
     assert run("resume-point", "--results", out("res"), "--fasta", str(reads)) == 0
 
 
+def test_order_and_ordinals_of_several_files(spark, tmp_path):
+    """References keep the order of their files, repeated ones too; ordinals of reads go on over files."""
+    seqs = ["AAAA", "CCCC", "AAAA", "GGGG", "TTTT"]
+    for k, part in enumerate((seqs[:3], seqs[3:])):
+        (tmp_path / f"r{k}.fasta").write_text("".join(f">{g}-9\n{s}\n" for g, s in zip((5, 4, 5), part)))
+    paths = [str(tmp_path / f"r{k}.fasta") for k in (0, 1)]
+    refs = fastx.references_by_header(fastx.read_reference_fasta(spark, paths))
+    assert [r.seq for r in P.extract_references(refs, [9]).orderBy("n").collect()] == seqs
+    assert I.assign_chunks(refs, 10).count() == 5
+    reads = fastx.read_fastx(spark, paths, "fasta")
+    assert [r.read_ord for r in reads.orderBy("read_ord").collect()] == [0, 1, 2, fastx.FILE, fastx.FILE + 1]
+    text = "".join(random.Random(2).choice("ACGT") for _ in range(300))
+    for k in (0, 1):
+        (tmp_path / f"q{k}.fasta").write_text(f">x{k}\n{text[20 + k:140 + k]}\n")
+    binned = I.bins(I.single_chunk(spark.createDataFrame([(1, 1, 0, text)], "tax_id long, gi long, ord long, seq string")))
+    hits = S.search(fastx.read_fastx(spark, [str(tmp_path / f"q{k}.fasta") for k in (0, 1)], "fasta"), binned, S.SearchParams(max_assignments=1))
+    assert sorted(r.read_id for r in hits.collect()) == ["x0", "x1"]
+
+
+def test_stored_index_gives_the_same_hits(spark, tmp_path):
+    rng = random.Random(6)
+    refs = [(t, t, 0, "".join(rng.choice("ACGT") for _ in range(9000))) for t in range(3)]
+    binned = I.bins(I.single_chunk(spark.createDataFrame(refs, "tax_id long, gi long, ord long, seq string")))
+    reads = spark.createDataFrame([(i, f"r{i}", refs[i % 3][3][4000 + 37 * i:4150 + 37 * i]) for i in range(12)], "read_ord long, read_id string, seq string")
+    I.write_index(binned, str(tmp_path / "ix"), 18)
+    index = I.read_index(spark, str(tmp_path / "ix"))
+    rows_ = lambda df: sorted(tuple(r) for r in df.select("read_ord", "tax_id", "offset", "edit").collect())
+    for p in (S.SearchParams(), S.SearchParams(seed_size=12)):
+        found = rows_(S.search(reads, index, p))
+        assert found == rows_(S.search(reads, binned, p)) and len(found) == 12
+
+
+def test_errors_have_exit_codes(spark, tmp_path):
+    (tmp_path / "bad").write_text("no id here\n")
+    assert cli.main(["collapse", str(tmp_path / "bad"), "--output", str(tmp_path / "o")]) == 1
+    (tmp_path / "empty.fq").write_text("")
+    assert cli.main(["classify", "--fastq", str(tmp_path / "empty.fq"), "--index", str(tmp_path / "none"), "--results", str(tmp_path / "r")]) == 2
+    assert cli.main(["reference", "1", "--index", str(tmp_path / "none"), "--results", str(tmp_path / "r")]) == 3
+
+
 def test_mapping(spark, tmp_path):
     m = tmp_path / "m.tsv"
-    m.write_text("Header\t taxid\tseqid\textra\nfoo\t123\t456\tx\n\nbar\t789\t101112\ty\n")
+    m.write_text("note\tHeader\t SeqID\ttaxid\n-\tfoo\t31\t8\n\n-\tbar\t5\t4294967295\n")
     got = {r.header: (r.tax_id, r.gi) for r in R.read_mapping(spark, str(m)).collect()}
-    assert got == {"foo": (123, 456), "bar": (789, 101112)}
+    assert got == {"foo": (8, 31), "bar": (4294967295, 5)}
     fasta = spark.createDataFrame([("foo", "A"), ("zip", "C")], "header string, seq string")
     assert P.apply_mapping(fasta, R.read_mapping(spark, str(m)), True).count() == 1
     with pytest.raises(Exception):

@@ -21,9 +21,11 @@ def parts(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; a temporary one only where that is unset."""
+    """A new folder below spark.checkpoint.dir; a temporary one only where that is unset and there is one machine."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = tempfile.mkdtemp(prefix="readloom-")
         spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/readloom-{uuid.uuid4().hex}"

@@ -183,8 +183,20 @@ def sample(docs: DataFrame, p: LanguageParams) -> list[tuple[str, str]]:
     h = F.xxhash64("doc_id", "text")
     crop = F.substr("text", (F.pmod(h, F.greatest(F.length("text") - p.crop, F.lit(1))) + 1).cast("int"), F.lit(p.crop))
     t = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", h.alias("h"), crop.alias("crop"))
+    slot = F.shiftright("h", 52)  # 4096 ranges of hashes, so that only those few rows are put in order that can be taken
+    counts: dict[str, list[tuple[int, int]]] = {}
+    for r in t.groupBy("lang", slot.alias("slot")).agg(F.count(F.lit(1)).alias("n")).collect():
+        counts.setdefault(r.lang, []).append((r.slot, r.n))
+    if not counts:
+        return []
+    last = []
+    for lang, own in sorted(counts.items()):
+        own.sort()
+        enough = np.searchsorted(np.cumsum([n for _, n in own]), p.per_lang)
+        last += [F.lit(lang), F.lit(own[min(int(enough), len(own) - 1)][0])]
+    few = t.where(slot <= F.element_at(F.create_map(*last), F.col("lang")))
     n = F.row_number().over(W.partitionBy("lang").orderBy("h", "crop"))
-    rows = t.withColumn("n", n).where(F.col("n") <= p.per_lang).orderBy("lang", "n").collect()  # bounded by per_lang and the languages
+    rows = few.withColumn("n", n).where(F.col("n") <= p.per_lang).orderBy("lang", "n").collect()  # bounded by per_lang and the languages
     return [(r.crop, r.lang) for r in rows]
 
 

@@ -1,8 +1,8 @@
 """Packing of documents to fixed windows with lexical neighbours.
 
 Documents are encoded once and written. Document frequencies and the average length are those of the whole table. Its
-rows are then put in order of their two heaviest shared terms, by those weights, so that documents about the same lie
-together, and cut into shards: a shard holds at most `shard_docs` documents and about `shard_bytes` of text (or one
+rows are then dealt by the rarer of their two heaviest shared terms, by those weights, and put in order of both, so that
+documents about the same lie together, and cut into shards: a shard holds at most `shard_docs` documents and about `shard_bytes` of text (or one
 longer document), whatever the input. Whole windows of a document stand alone. Its rest is a seed: a BM25 index over
 the tokens of the shard's documents, queried with every term of the seed that another document has, returns the unused
 ones most like the seed, which fill its window in that order; the last is cut so that the window is full, and what is left of it stays unused. Documents without a
@@ -15,6 +15,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,10 @@ class Corpus:
     average: float
     df: np.ndarray
 
+    @cached_property
+    def idf(self) -> np.ndarray:
+        return np.log(1 + (self.n - self.df + 0.5) / (self.df + 0.5))
+
 
 def term_counts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     s = np.sort(x)
@@ -53,8 +58,7 @@ def term_counts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def term_weights(term: np.ndarray, tf: np.ndarray, size: np.ndarray | int, all_: Corpus, p: PackParams) -> np.ndarray:
-    df = all_.df[term]
-    return np.log(1 + (all_.n - df + 0.5) / (df + 0.5)) * tf * (p.k1 + 1) / (tf + p.k1 * (1 - p.b + p.b * size / max(1.0, all_.average)))
+    return all_.idf[term] * tf * (p.k1 + 1) / (tf + p.k1 * (1 - p.b + p.b * size / max(1.0, all_.average)))
 
 
 #: Weights are whole multiples of 1 / SCALE, so that sums are exact in any order.
@@ -221,18 +225,29 @@ def corpus(coded: DataFrame) -> Corpus:
     return Corpus(n, sum(r.tokens for r in rows) / max(1, n), df)
 
 
-def route(all_: Corpus, p: PackParams):
-    """Adds the two heaviest terms that another document has, the rarer first."""
+def route(all_: Corpus, parts: int, p: PackParams):
+    """Adds the two heaviest terms that another document has, the rarer first, and a hash of that one for the partition.
+
+    No more documents come together than have the term, so one that more have than a partition should hold is split by
+    doc_id into as many hashes as it takes.
+    """
+    splits = np.maximum(1, -(-all_.df * parts // max(1, all_.n))).astype(np.uint64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf = np.where(all_.df > 1, all_.idf, 0)  # weights are above 0 else; a document's length scales them alike
         for batch in batches:
             out = []
             for x in batch.column("ids"):
                 t, f = term_counts(np.frombuffer(x.as_py(), "<u4"))
-                w = np.where(all_.df[t] > 1, term_weights(t, f, f.sum(), all_, p), -1.0)
-                top = t[np.argsort(-w, kind="stable")[:2]].tolist()
-                top.sort(key=lambda k: (all_.df[k], k))
+                w = idf[t] * f / (f + p.k1 * (1 - p.b + p.b * f.sum() / max(1.0, all_.average)))
+                first = int(w.argmax())
+                w[first] = -1
+                top = sorted((int(t[first]), int(t[w.argmax()])) if len(t) > 1 else (int(t[0]),), key=lambda k: (all_.df[k], k))
                 out.append(top[0] << 32 | top[-1])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], names=["doc_id", "bytes", "ids", "route"])
+            two = np.array(out, np.int64)
+            salt = B.mix(B.long_array(batch.column("doc_id")).view(np.uint64)) % splits[two >> 32]
+            part = B.mix((two >> 32).astype(np.uint64) << np.uint64(32) | salt).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(two), pa.array(part)], names=["doc_id", "bytes", "ids", "route", "part"])
     return run
 
 
@@ -259,5 +274,5 @@ def pack(docs: DataFrame, p: PackParams = PackParams()) -> DataFrame:
     n = B.parts(docs.sparkSession)
     coded = B.cut(B.documents(docs).mapInArrow(encode(p), CODED))
     all_ = corpus(coded)
-    routed = coded.mapInArrow(route(all_, p), CODED + ", route bigint")
-    return routed.repartitionByRange(n, "route", "doc_id").sortWithinPartitions("route", "doc_id").mapInArrow(pack_partition(p, all_), SCHEMA)
+    routed = coded.mapInArrow(route(all_, n, p), CODED + ", route bigint, part bigint")
+    return routed.repartition(n, "part").sortWithinPartitions("route", "doc_id").mapInArrow(pack_partition(p, all_), SCHEMA)

@@ -26,6 +26,16 @@ from readloom.llm import base as B, tokens as T
 
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 CODED = "doc_id bigint, bytes bigint, ids binary"
+#: Ids between stages: two bytes each, as a vocabulary of up to 65536 has them, or four with a leading zero byte.
+SMALL = 1 << 16
+
+
+def held(ids: np.ndarray) -> bytes:
+    return ids.astype("<u2").tobytes() if not len(ids) or ids.max() < SMALL else b"\0" + ids.astype("<u4").tobytes()
+
+
+def unheld(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, "<u4", offset=1) if len(raw) % 2 else np.frombuffer(raw, "<u2").astype("<u4")
 
 
 @dataclass(frozen=True)
@@ -172,19 +182,19 @@ def pack_shard(sizes: np.ndarray, index: Bm25, window: int) -> Iterator[list[tup
 
 
 def shards(batches: Iterator[pa.RecordBatch], p: PackParams) -> Iterator[pa.Table]:
-    held, rows, size = [], 0, 0
+    kept, rows, size = [], 0, 0
     for batch in batches:
         off = np.concatenate([[0], np.cumsum(B.long_array(batch.column("bytes")))])
         for i, j in B.slices(off, p.shard_bytes):
             for a in range(i, j, p.shard_docs):
                 b = min(j, a + p.shard_docs)
-                if held and (rows + b - a > p.shard_docs or size + off[b] - off[a] > p.shard_bytes):
-                    yield pa.Table.from_batches(held)
-                    held, rows, size = [], 0, 0
-                held.append(batch.slice(a, b - a))
+                if kept and (rows + b - a > p.shard_docs or size + off[b] - off[a] > p.shard_bytes):
+                    yield pa.Table.from_batches(kept)
+                    kept, rows, size = [], 0, 0
+                kept.append(batch.slice(a, b - a))
                 rows, size = rows + b - a, size + off[b] - off[a]
-    if held:
-        yield pa.Table.from_batches(held)
+    if kept:
+        yield pa.Table.from_batches(kept)
 
 
 def encode(p: PackParams):
@@ -194,7 +204,7 @@ def encode(p: PackParams):
         for batch in batches:
             _, off = B.text_bytes(batch.column("text"))
             for i, j in B.slices(off, p.shard_bytes):
-                ids = [np.concatenate([x, end]).astype("<u4").tobytes() for x in enc.encode(batch.column("text").slice(i, j - i).to_pylist())]
+                ids = [held(np.concatenate([x, end])) for x in enc.encode(batch.column("text").slice(i, j - i).to_pylist())]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(np.diff(off[i:j + 1])), B.binary_column(ids)], names=["doc_id", "bytes", "ids"])
     return run
 
@@ -204,7 +214,7 @@ def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     df, n, tokens = np.zeros(0, np.int64), 0, 0
     for batch in batches:
         for x in batch.column("ids"):
-            t, f = term_counts(np.frombuffer(x.as_py(), "<u4"))
+            t, f = term_counts(unheld(x.as_py()))
             if int(t[-1]) >= len(df):
                 df = np.concatenate([df, np.zeros(int(t[-1]) + 1 - len(df), np.int64)])
             df[t] += 1
@@ -238,7 +248,7 @@ def route(all_: Corpus, parts: int, p: PackParams):
         for batch in batches:
             out = []
             for x in batch.column("ids"):
-                t, f = term_counts(np.frombuffer(x.as_py(), "<u4"))
+                t, f = term_counts(unheld(x.as_py()))
                 w = idf[t] * f / (f + p.k1 * (1 - p.b + p.b * f.sum() / max(1.0, all_.average)))
                 first = int(w.argmax())
                 w[first] = -1
@@ -256,7 +266,7 @@ def pack_partition(p: PackParams, all_: Corpus):
         seq = TaskContext.get().partitionId() << 36
         for table in shards(batches, p):
             docs = B.long_array(table["doc_id"])
-            ids = [np.frombuffer(x, "<u4") for x in table["ids"].to_pylist()]
+            ids = [unheld(x) for x in table["ids"].to_pylist()]
             sizes = np.array([len(x) for x in ids])
             out = []
             for pieces in pack_shard(sizes, Bm25(ids, all_, p), p.window):

@@ -211,6 +211,7 @@ def encode(p: PackParams):
 
 def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """ids -> (term, df, documents, tokens), summed over the task; term -1 has the last two."""
+    T.forget()
     df, n, tokens = np.zeros(0, np.int64), 0, 0
     for batch in batches:
         for x in batch.column("ids"):
@@ -244,6 +245,7 @@ def route(all_: Corpus, parts: int, p: PackParams):
     splits = np.maximum(1, -(-all_.df * parts // max(1, all_.n))).astype(np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        T.forget()
         idf = np.where(all_.df > 1, all_.idf, 0)  # weights are above 0 else; a document's length scales them alike
         for batch in batches:
             out = []
@@ -263,6 +265,7 @@ def route(all_: Corpus, parts: int, p: PackParams):
 
 def pack_partition(p: PackParams, all_: Corpus):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        T.forget()
         seq = TaskContext.get().partitionId() << 36
         for table in shards(batches, p):
             docs = B.long_array(table["doc_id"])

@@ -9,12 +9,15 @@ whole, as are pieces with anything else in them.
 """
 from __future__ import annotations
 
+import gc
 import os
 import re
 from array import array
 
 import numpy as np
 
+from readloom.llm import base as B
+
 #: Pieces that a worker remembers in each generation of a memory; bounds its memory to about 150 MB.
 REMEMBER = 400_000
 _RUN = re.compile(r"\s (?=\s|\Z)| \Z")
@@ -141,3 +144,11 @@ def encoder(name: str) -> Encoder:
     if name not in _LOADED:
         _LOADED[name] = Encoder(name)
     return _LOADED[name]
+
+
+def forget() -> None:
+    """Gives the memory of all encoders back: a worker goes on to later stages, where nothing is encoded."""
+    if _LOADED:
+        _LOADED.clear()
+        gc.collect()
+    B.give_back()

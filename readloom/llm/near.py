@@ -309,9 +309,9 @@ def keep_one(docs: DataFrame, p: NearParams = NearParams(), before: DataFrame |
     links = near_duplicates(docs, p).select("doc_id", "component_id")
     if before is not None:
         hashes = lambda text: F.transform(F.split(text, "\n", -1), lambda x: F.xxhash64(x))
-        now = B.documents(docs).select(F.col("doc_id").alias("id"), hashes("text").alias("now"))
-        then = B.documents(before).join(now, F.col("doc_id") == F.col("id"))
-        then = then.where(F.size(F.array_except("now", hashes("text"))) == 0).select("doc_id", "text")
+        now = B.documents(docs).select(F.col("doc_id").alias("id"), hashes("text").alias("now")).distinct()
+        holds = F.size(F.array_except("now", hashes("text"))) == 0
+        then = B.documents(before).join(now, (F.col("doc_id") == F.col("id")) & holds, "left_semi")  # else rows of one doc_id multiply
         both = B.cut(links.unionAll(near_duplicates(B.cut(then), p).select("doc_id", "component_id")))
         joined = B.components(both.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")))
         links = links.select("doc_id").join(joined.select(F.col("v").alias("doc_id"), F.col("component").alias("component_id")), "doc_id", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))

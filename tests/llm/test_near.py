@@ -61,3 +61,18 @@ def test_texts_of_before(spark):
     now = spark.createDataFrame([(1, a), (2, "some other line here"), (3, b), (4, c), (5, None)], "doc_id long, text string")
     assert sorted(r.doc_id for r in near.keep_one(now, before=before).collect()) == [1, 3, 4, 5]
     assert near.keep_one(now).count() == 5
+
+
+def test_rows_of_one_document_do_not_multiply(spark, monkeypatch):
+    """What keep_one writes of texts grows with the rows of a doc_id, not with their square."""
+    docs = spark.createDataFrame([(i, f"line {i} of this\nand some more words {i}") for i in range(5)] * 12, "doc_id long, text string")
+    cut, written = near.B.cut, []
+
+    def counted(df):
+        out = cut(df)
+        written.append(out.count() if "text" in out.columns else 0)
+        return out
+
+    monkeypatch.setattr(near.B, "cut", counted)
+    assert near.keep_one(docs, before=docs).count() == 60
+    assert max(written) <= 60

@@ -61,10 +61,25 @@ class Corpus:
         return np.log(1 + (self.n - self.df + 0.5) / (self.df + 0.5))
 
 
-def term_counts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    s = np.sort(x)
-    edge = B.starts_of(s)
-    return s[edge[:-1]], np.diff(edge).astype(np.float64)
+def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a column of held ones, and the offsets of its rows."""
+    raw, at = B.text_bytes(column)
+    if not (np.diff(at) % 2).any():
+        return raw.view("<u2"), at // 2
+    ids = [unheld(raw[i:j].tobytes()) for i, j in zip(at[:-1], at[1:])]
+    return np.concatenate(ids), np.concatenate([[0], np.cumsum([len(x) for x in ids])])
+
+
+def term_counts(ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, term, tf) of rows of ids, by row and term; one sort for all rows."""
+    n = len(at) - 1
+    kind, bits = (np.uint32, 16) if n <= SMALL and (not len(ids) or ids.max() < SMALL) else (np.uint64, 32)
+    key = np.repeat(np.arange(n, dtype=kind) << kind(bits), np.diff(at))
+    key |= ids.astype(kind, copy=False)
+    key.sort()
+    edge = B.starts_of(key)
+    key = key[edge[:-1]]
+    return (key >> kind(bits)).astype(np.int64), (key & kind((1 << bits) - 1)).astype(np.int64), np.diff(edge).astype(np.float64)
 
 
 def term_weights(term: np.ndarray, tf: np.ndarray, size: np.ndarray | int, all_: Corpus, p: PackParams) -> np.ndarray:
@@ -86,13 +101,7 @@ class Bm25:
 
     def __init__(self, ids: list[np.ndarray], all_: Corpus, p: PackParams):
         n = len(ids)
-        docs, terms, tfs = [], [], []
-        for i, x in enumerate(ids):
-            t, f = term_counts(x)
-            docs.append(np.full(len(t), i))
-            terms.append(t)
-            tfs.append(f)
-        doc, term, tf = np.concatenate(docs), np.concatenate(terms), np.concatenate(tfs)
+        doc, term, tf = term_counts(np.concatenate(ids), np.concatenate([[0], np.cumsum([len(x) for x in ids])]))
         weight = np.rint(SCALE * term_weights(term, tf, np.bincount(doc, tf, n)[doc], all_, p)).astype(np.float32)
         order = np.argsort(term, kind="stable")
         edge = B.starts_of(term[order])
@@ -214,12 +223,13 @@ def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     T.forget()
     df, n, tokens = np.zeros(0, np.int64), 0, 0
     for batch in batches:
-        for x in batch.column("ids"):
-            t, f = term_counts(unheld(x.as_py()))
-            if int(t[-1]) >= len(df):
-                df = np.concatenate([df, np.zeros(int(t[-1]) + 1 - len(df), np.int64)])
-            df[t] += 1
-            n, tokens = n + 1, tokens + int(f.sum())
+        ids, at = flat(batch.column("ids"))
+        for i, j in B.slices(at):
+            _, t, _ = term_counts(ids[at[i]:at[j]], at[i:j + 1] - at[i])
+            more = np.bincount(t, minlength=len(df))
+            more[:len(df)] += df
+            df = more
+        n, tokens = n + len(at) - 1, tokens + len(ids)
     term = np.flatnonzero(df)
     zero = np.zeros(len(term), np.int64)
     yield pa.RecordBatch.from_arrays([pa.array(np.append(term, -1)), pa.array(np.append(df[term], 0)), pa.array(np.append(zero, n)), pa.array(np.append(zero, tokens))], names=["term", "df", "docs", "tokens"])
@@ -236,6 +246,13 @@ def corpus(coded: DataFrame) -> Corpus:
     return Corpus(n, sum(r.tokens for r in rows) / max(1, n), df)
 
 
+def heaviest(w: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Where each row has its greatest weight; the first place of equal ones."""
+    at = B.starts_of(row)
+    most = np.flatnonzero(w == np.repeat(np.maximum.reduceat(w, at[:-1]), np.diff(at)))
+    return most[B.starts_of(row[most])[:-1]]
+
+
 def route(all_: Corpus, parts: int, p: PackParams):
     """Adds the two heaviest terms that another document has, the rarer first, and a hash of that one for the partition.
 
@@ -248,15 +265,16 @@ def route(all_: Corpus, parts: int, p: PackParams):
         T.forget()
         idf = np.where(all_.df > 1, all_.idf, 0)  # weights are above 0 else; a document's length scales them alike
         for batch in batches:
-            out = []
-            for x in batch.column("ids"):
-                t, f = term_counts(unheld(x.as_py()))
-                w = idf[t] * f / (f + p.k1 * (1 - p.b + p.b * f.sum() / max(1.0, all_.average)))
-                first = int(w.argmax())
-                w[first] = -1
-                top = sorted((int(t[first]), int(t[w.argmax()])) if len(t) > 1 else (int(t[0]),), key=lambda k: (all_.df[k], k))
-                out.append(top[0] << 32 | top[-1])
-            two = np.array(out, np.int64)
+            ids, at = flat(batch.column("ids"))
+            two = np.empty(len(at) - 1, np.int64)
+            for i, j in B.slices(at):
+                row, t, f = term_counts(ids[at[i]:at[j]], at[i:j + 1] - at[i])
+                w = idf[t] * f / (f + p.k1 * (1 - p.b + p.b * np.diff(at[i:j + 1]).astype(np.float64)[row] / max(1.0, all_.average)))
+                a = heaviest(w, row)
+                w[a] = -1
+                a, b = t[a], t[heaviest(w, row)]
+                later = (all_.df[a] > all_.df[b]) | (all_.df[a] == all_.df[b]) & (a > b)
+                two[i:j] = np.where(later, b, a) << 32 | np.where(later, a, b)
             salt = B.mix(B.long_array(batch.column("doc_id")).view(np.uint64)) % splits[two >> 32]
             part = B.mix((two >> 32).astype(np.uint64) << np.uint64(32) | salt).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(two), pa.array(part)], names=["doc_id", "bytes", "ids", "route", "part"])

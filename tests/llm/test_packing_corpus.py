@@ -50,3 +50,14 @@ def test_neighbours_like_plain_bm25():
             if total:
                 scores[j] = total
         assert list(index.neighbours(i, unused)) == sorted(scores, key=lambda j: (-scores[j], j))
+
+
+def test_terms_of_many_rows_at_once():
+    """Terms of rows counted together, with ids in two bytes and in four, like a Counter a row; of equal weights the first."""
+    rng = np.random.default_rng(2)
+    for most in (300, 1 << 20):
+        ids = [np.append(rng.integers(1, most, rng.integers(0, 50)), 0).astype(np.uint32) for _ in range(200)]
+        flat, at = packing.flat(packing.B.binary_column([packing.held(x) for x in ids]))
+        row, term, tf = packing.term_counts(flat, at)
+        assert list(zip(row, term, tf)) == [(i, t, n) for i, x in enumerate(ids) for t, n in sorted(Counter(x.tolist()).items())]
+    assert packing.heaviest(np.array([1.0, 3, 3, -1, 0, 0]), np.array([0, 0, 0, 1, 2, 2])).tolist() == [1, 3, 4]

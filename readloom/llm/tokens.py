@@ -1,6 +1,7 @@
 """Token ids by a public byte-level BPE tokenizer.
 
-The tokenizer library encodes; this module only remembers what it said. Its pre-tokenizer never joins text across the
+The tokenizer library encodes; this module only remembers what it said. Letters that are new, and signs
+after them, go to the library's model at once, as its pre-tokenizer would hand them on, at less than half the cost. The pre-tokenizer never joins text across the
 place before a single space, nor across the edges of a run of letters, of stops or of one line break between them, so
 a text is the sequence of such pieces, and equal pieces have equal ids. Nor does it join a letter or digit with a stop
 after it, so stops before a space or line break are pieces of their own, and a word is remembered once, not once a stop.
@@ -28,6 +29,12 @@ _PARTS = re.compile(f"{_LETTERS}|{_STOPS}|\n")
 _STOP, _LINE, _BEFORE = "\x01", "\x02", "\x03"
 _MARKS = [(f"{c} ", f"{_BEFORE}{c} ") for c in ".,;:!?"] + [(f"{c}\n", f"{_BEFORE}{c} {_LINE}") for c in ".,;:!?"] + [(_BEFORE, f" {_STOP}")]
 _CUT, _BREAK = re.compile(r"(?<=[^\W_])([.,;:!?])(?=[ \n]|\Z)"), re.compile(rf"({_STOP}[.,;:!?])\n(?=\S)")
+#: Letters and then signs without an apostrophe are two words of the pre-tokenizer, whatever they are.
+_SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_LATIN, _SIGNED = re.compile(f"{_LETTERS}\\Z"), re.compile(f"{_LETTERS}[{re.escape(_SIGNS)}]++\\Z")
+#: By byte, its letter in the alphabet of byte-level models.
+_SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_ALPHABET = dict(zip([b for b in range(256) if b not in _SHOWN], range(256, 512)))
 _LOADED: dict[str, "Encoder"] = {}
 
 
@@ -69,10 +76,32 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
         self.first, self.later, self.rough = Memory(""), Memory(" ", strict=True), Memory(" ")
         self.line_break = self.ids("\n")
+        self.model = self.tokenizer.model if self.splits_at_letters() else None
+
+    def splits_at_letters(self) -> bool:
+        """Whether letters, alone or after a space, and signs are each a word of the model, which then can be asked for it."""
+        t = self.tokenizer
+        cut = t.pre_tokenizer
+        return (type(t.model).__name__ == "BPE" and t.normalizer is None and t.truncation is None and t.padding is None and type(cut).__name__ == "ByteLevel" and cut.use_regex
+                and not cut.add_prefix_space and not any(not (y := x.content.strip().rstrip(_SIGNS)) or y.isalpha() for x in t.get_added_tokens_decoder().values()))
 
     def ids(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
+    def words(self, pieces: list[str], before: str) -> list[bytes]:
+        """Ids of pieces of letters and signs after them, by the model alone."""
+        out, before, ask, signs = [], before and "\u0120", self.model.tokenize, {}
+        for p in pieces:
+            x = p.rstrip(_SIGNS)
+            ids = array("I", [y.id for y in ask(before + (x if x.isascii() else x.encode().decode("latin-1").translate(_ALPHABET)))]).tobytes()
+            if len(x) < len(p):
+                after = p[len(x):]
+                if after not in signs:
+                    signs[after] = array("I", [y.id for y in ask(after)]).tobytes()
+                ids += signs[after]
+            out.append(ids)
+        return out
+
     def many(self, pieces: list[str]) -> list[bytes]:
         """Ids of pieces without white space but a space before: one text of lines costs half of what as many texts cost."""
         out, mark = [], np.frombuffer(self.line_break, "<u4")[0]
@@ -91,10 +120,10 @@ class Encoder:
         """Encodes all new pieces. A piece of several parts is put together from theirs."""
         parts = []
         for m in (self.rough, self.later, self.first):  # parts may be new to a memory that follows; parts of first ones have no parts
-            simple, todo = [], []
+            simple, todo, letters = [], [], []
             for p in m.new:
                 if p.isalpha():
-                    simple.append(p)
+                    (letters if self.model and (p.isascii() or _LATIN.match(p)) else simple).append(p)
                 elif p[:1] == _LINE and (p.isascii() and p[1:].isalpha()):
                     parts.append((m, p, [self.line_break, self.first[p[1:]]]))
                 elif p[:1] == _STOP or p[:1] == _LINE:
@@ -102,11 +131,13 @@ class Encoder:
                     m[p] = ids
                 elif p[:1] not in ".,;:!?" and _PLAIN.match(p) and len(x := _PARTS.findall(p)) > 1:
                     parts.append((m, p, [(self.later if m.before else m)[x[0]], *map(self.first.__getitem__, x[1:])]))
+                elif self.model and _SIGNED.match(p):
+                    letters.append(p)
                 else:
                     todo.append(p)
             odd = [p for p in todo if not p or p.split(None, 1)[1:] or p.strip() != p]
             simple += set(todo).difference(odd)
-            for p, ids in [*zip(simple, self.many([m.before + p for p in simple])), *((p, self.ids(m.before + p)) for p in odd)]:
+            for p, ids in [*zip(letters, self.words(letters, m.before) if letters else ()), *zip(simple, self.many([m.before + p for p in simple])), *((p, self.ids(m.before + p)) for p in odd)]:
                 m[p][:] = ids
                 m[p] = ids
             m.new = []

@@ -20,6 +20,8 @@ from readloom.schema import InvalidParameter
 
 #: Characters of the pieces that a sequence is cut into, one within the other. A substring costs as much as what lies before it.
 BLOCKS = (8192, 128)
+#: Characters of a chunk within which bins find those that follow them.
+STRETCH = 1 << 16
 
 
 def chunk_limit(gb: float) -> int:
@@ -145,22 +147,37 @@ def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(place), pa.array(before)], names=[*batch.schema.names, "n_own", "own"])
 
 
+def _over_ends(solid: DataFrame, size: int) -> DataFrame:
+    """(chunk_id, bin_id, start, ext, last): the last size - 1 characters of each bin with the size - 1 that follow it in its chunk.
+
+    A bin meets those that follow it in the stretch of STRETCH characters where it ends. Each goes to all stretches that
+    may ask for its first characters, so none is looked for beyond a stretch, and no task holds a chunk.
+    """
+    k = size - 1
+    stretch = lambda x: F.floor(x / STRETCH)
+    asks = stretch(F.col("end"))
+    within = F.sequence(stretch(F.greatest(F.col("start") - k, F.lit(0))), stretch(F.col("start")))
+    own = F.right("seq", F.lit(k))
+    ends = solid.select("chunk_id", "bin_id", "start", "end", F.left("seq", F.lit(k)).alias("head"), own.alias("own"), F.explode(F.array_union(within, F.array(asks))).alias("stretch"))
+    w = W.partitionBy("chunk_id", "stretch").orderBy("start").rowsBetween(1, k)
+    tail = F.left(F.array_join(F.collect_list("head").over(w), ""), F.lit(k))
+    ends = ends.withColumn("tail", tail).where(F.col("stretch") == asks).withColumn("ext", F.concat("own", "tail"))
+    return ends.select("chunk_id", "bin_id", (F.col("end") - F.length("own")).alias("start"), "ext", F.least(F.length("own") - 1, F.length("ext") - size).alias("last"))
+
+
 def seed_positions(binned: DataFrame, size: int) -> DataFrame:
     """(chunk_id, kmer, site, bin_id) of every substring of the concatenation, attributed to the bin of its first character.
 
-    Each bin is extended by the size - 1 characters that follow it in its chunk, which may come from several short bins.
+    Those within a bin come from its text alone, those that go on into the next bins, which may be several short ones, from
+    the ends of texts.
     """
     solid = binned.where(F.length("seq") > 0)
+    flat = solid.select("chunk_id", "bin_id", "start", F.col("seq").alias("ext"), (F.length("seq") - size).alias("last"))
     if size > 1:
-        w = W.partitionBy("chunk_id").orderBy("start").rowsBetween(1, size - 1)
-        tail = F.left(F.array_join(F.collect_list(F.left("seq", F.lit(size - 1))).over(w), ""), F.lit(size - 1))
-        solid = solid.withColumn("ext", F.concat("seq", F.coalesce(tail, F.lit(""))))
-    else:
-        solid = solid.withColumn("ext", F.col("seq"))
-    last = F.least(F.length("seq") - 1, F.length("ext") - size)
-    flat = solid.select("chunk_id", "bin_id", "start", "ext", last.alias("last")).where(F.col("last") >= 0)
+        flat = flat.unionAll(_over_ends(solid, size))
+    flat = flat.where(F.col("last") >= 0)
     for block in BLOCKS:
-        if block == BLOCKS[-1]:  # there may be few chunks, whose windows are few tasks
+        if block == BLOCKS[-1]:  # a few long texts are few tasks
             flat = flat.repartition(int(flat.sparkSession.conf.get("spark.sql.shuffle.partitions")), "chunk_id", "start")
         piece = F.substr("ext", F.col("i") + 1, F.lit(block + size - 1))
         flat = (flat.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(block))))
